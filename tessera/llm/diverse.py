@@ -12,6 +12,7 @@ buckets. The judged gain is therefore never above the true one, and no task hold
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +22,14 @@ from tessera.storage import Scratch
 COARSE = 2_000  # most values of a coarse feature; their masses stay on the driver
 BUCKETS = 512
 PER_VALUE = 8  # candidates of one fine value per round
+REPEAT = 0.2  # a threshold is used again while a round adds this share of what is still wanted
 
 
 def _gain(mass: Column, weight: float) -> Column:
     return F.lit(weight) * (F.sqrt(mass + 1) - F.sqrt(mass))
 
 
-def diverse_subset(records: DataFrame, key: str, fine: dict[str, Column], coarse: dict[str, Column], size: int, scratch: Scratch | None = None, shrink: float = 0.85, seed: int = 11) -> DataFrame:
+def diverse_subset(records: DataFrame, key: str, fine: dict[str, Column], coarse: dict[str, Column], size: int, scratch: Scratch | None = None, shrink: float = 0.8, seed: int = 11) -> DataFrame:
     """(key, round): ``size`` records, or all if there are fewer; ``round`` is the round that added the record.
 
     A null feature value adds nothing. Null keys are left out and equal keys count once (with the smallest feature values).
@@ -81,10 +83,8 @@ def diverse_subset(records: DataFrame, key: str, fine: dict[str, Column], coarse
                     state = state.join(added, f"v_{n}", "left").withColumn(f"m_{n}", F.col(f"m_{n}") + F.coalesce("__add", F.lit(0))).drop("__add")
                 state = scratch.put(state)
                 scratch.drop(old)
-        if n_taken < 0.05 * (size - have + n_taken):
-            if not n_taken and level < 1e-6:
-                level = -1.0  # records whose features are all null: every one has gain 0
-            level *= shrink
+        if n_taken < REPEAT * (size - have + n_taken):
+            level = level * shrink if n_taken or level > 1e-6 else -1.0  # below all: records whose features are all null
     out = chosen[0]
     for part in chosen[1:]:
         out = out.union(part)
@@ -94,7 +94,7 @@ def diverse_subset(records: DataFrame, key: str, fine: dict[str, Column], coarse
 def _with_masses(spark, state: DataFrame, few: list[str], mass: dict[str, dict[str, int]]) -> DataFrame:
     """Adds the coarse masses; each joined table has at most ``COARSE`` rows."""
     for n in few:
-        table = spark.createDataFrame([*mass[n].items()], f"v_{n} string, m_{n} long")
+        table = spark.createDataFrame(pa.table({f"v_{n}": pa.array([*mass[n]], pa.string()), f"m_{n}": pa.array([*mass[n].values()], pa.int64())}))
         state = state.join(F.broadcast(table), f"v_{n}", "left").withColumn(f"m_{n}", F.coalesce(f"m_{n}", F.lit(0)))
     return state
 
