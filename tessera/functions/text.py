@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Alphabets, reply patterns and limits that decide how a reply is scored.
@@ -43,13 +43,8 @@ def _flat(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"[.\-]", " "), r"\s+", " "))
 
 
-def reply_letter(reply: Column | str, options: Column | str | None = None) -> Column:
-    """Option letter of a reply: leading letter, last stated answer, exact option text, the only contained option text, bare
-    index; null if none applies. A bare leading A or I counts only when the reply is that one word. More than ten options
-    widen the alphabet. ``options`` is array<string> or null."""
-    s = F.trim(plain_marks(reply))
-    opts = _col(options) if options is not None else F.lit(None).cast("array<string>")
-    wide = F.coalesce(F.size(opts) > 10, F.lit(False))
+def _said_letter(s: Column, wide: Column | None = None) -> Column:
+    """Leading letter, else the last stated one, else the last one stated in Chinese; ``s`` has plain marks and no outer blanks."""
 
     def leading(alphabet: str) -> Column:
         pattern = rf"^\s*[(\[]?([{alphabet}])[)\].,:]?(?:\s|$)"
@@ -57,21 +52,48 @@ def reply_letter(reply: Column | str, options: Column | str | None = None) -> Co
         marked = F.regexp_extract(s, pattern, 0).rlike(r"[()\[\].,:]")
         return F.when((letter != "") & (marked | ~letter.isin("A", "I") | ~s.rlike(r"\S\s+\S")), letter)
 
-    def stated(alphabet: str) -> Column:
-        return F.upper(F.try_element_at(F.regexp_extract_all(s, F.lit(STATED % alphabet), F.lit(1)), F.lit(-1)))
+    last = lambda pattern: F.upper(F.try_element_at(F.regexp_extract_all(s, F.lit(pattern), F.lit(1)), F.lit(-1)))
+    narrow = F.coalesce(leading(LETTERS), last(STATED % LETTERS))
+    said = narrow if wide is None else F.when(wide, F.coalesce(leading(LETTERS_WIDE), last(STATED % LETTERS_WIDE))).otherwise(narrow)
+    return F.coalesce(said, last(STATED_ZH))
 
-    said = F.when(wide, F.coalesce(leading(LETTERS_WIDE), stated(LETTERS_WIDE))).otherwise(F.coalesce(leading(LETTERS), stated(LETTERS)))
-    said_zh = F.upper(F.try_element_at(F.regexp_extract_all(s, F.lit(STATED_ZH), F.lit(1)), F.lit(-1)))
-    if options is None:
-        return F.when(_col(reply).isNotNull(), F.coalesce(said, said_zh))
-    norm = norm_text(s)
-    at = F.transform(opts, lambda o, i: F.struct(i.alias("i"), norm_text(o).alias("whole"), norm_text(strip_letter(o)).alias("bare")))
-    exact = F.filter(at, lambda x: (norm != "") & ((x["whole"] == norm) | (x["bare"] == norm)))
-    inside = F.filter(at, lambda x: (F.length(_flat(x["bare"])) >= 3) & F.contains(F.concat(F.lit(" "), _flat(norm), F.lit(" ")), F.concat(F.lit(" "), _flat(x["bare"]), F.lit(" "))))
-    place = F.coalesce(F.try_element_at(exact, F.lit(1))["i"], F.when(F.size(inside) == 1, F.try_element_at(inside, F.lit(1))["i"]))
+
+def _option_place(s: Column, norm: Column, texts: Column) -> Column:
+    """Place of the option whose text the reply is, else of the only one it contains, else its bare index; ``texts`` holds
+    struct(i, whole, bare, flat) per option."""
+    exact = F.filter(texts, lambda x: (norm != "") & ((x["whole"] == norm) | (x["bare"] == norm)))
+    padded = F.concat(F.lit(" "), _flat(norm), F.lit(" "))
+    inside = F.filter(texts, lambda x: (F.length(x["flat"]) >= 3) & F.contains(padded, F.concat(F.lit(" "), x["flat"], F.lit(" "))))
     number = F.when(s.rlike(r"^\d{1,2}$"), s.try_cast("int"))
-    place = F.coalesce(place, F.when(number < F.size(opts), number))
-    return F.when(_col(reply).isNotNull(), F.coalesce(said, said_zh, letter_of(place)))
+    by_text = F.coalesce(F.try_element_at(exact, F.lit(1))["i"], F.when(F.size(inside) == 1, F.try_element_at(inside, F.lit(1))["i"]))
+    return F.coalesce(by_text, F.when(number < F.size(texts), number))
+
+
+def _option_texts(opts: Column) -> Column:
+    bare = lambda o: norm_text(strip_letter(o))
+    return F.transform(opts, lambda o, i: F.struct(i.alias("i"), norm_text(o).alias("whole"), bare(o).alias("bare"), _flat(bare(o)).alias("flat")))
+
+
+def reply_letter(reply: Column | str, options: Column | str | None = None) -> Column:
+    """Option letter of a reply: leading letter, last stated answer, exact option text, the only contained option text, bare
+    index; null if none applies. A bare leading A or I counts only when the reply is that one word. More than ten options
+    widen the alphabet. ``options`` is array<string> or null. For large tables ``with_letter`` gives the same, in steps."""
+    s = F.trim(plain_marks(reply))
+    if options is None:
+        return F.when(_col(reply).isNotNull(), _said_letter(s))
+    opts = _col(options)
+    place = _option_place(s, norm_text(s), _option_texts(opts))
+    return F.when(_col(reply).isNotNull(), F.coalesce(_said_letter(s, F.coalesce(F.size(opts) > 10, F.lit(False))), letter_of(place)))
+
+
+def with_letter(df: DataFrame, out: str, reply: Column | str, options: Column | str | None = None) -> DataFrame:
+    """``df`` with the reply's letter as ``out``. Each part is computed once per row, in a projection of its own."""
+    step = df.withColumn("__s", F.trim(plain_marks(reply)))
+    if options is None:
+        return step.withColumn(out, _said_letter(F.col("__s"))).drop("__s")
+    step = step.withColumns({"__n": norm_text("__s"), "__t": _option_texts(_col(options)), "__w": F.coalesce(F.size(_col(options)) > 10, F.lit(False))})
+    place = letter_of(_option_place(F.col("__s"), F.col("__n"), F.col("__t")))
+    return step.withColumn(out, F.coalesce(_said_letter(F.col("__s"), F.col("__w")), place)).drop("__s", "__n", "__t", "__w")
 
 
 def letter_of(index: Column) -> Column:
@@ -124,46 +146,46 @@ def interval_iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.when(union > 0, inter / union).otherwise(F.when(F.abs(lo_a - lo_b) <= SAME_NUMBER, 1.0).otherwise(0.0))
 
 
-def score(reply: Column | str, gold: Column | str, options: Column | str | None = None, form: Column | str | None = None) -> Column:
-    """Rule score of a reply: true, false, or null where the gold is free text that no rule can judge.
+def with_score(df: DataFrame, out: str, reply: Column | str, gold: Column | str, options: Column | str | None = None, form: Column | str | None = None) -> DataFrame:
+    """``df`` with the rule score of the reply as ``out``: true, false, or null where no rule can judge a free-text gold.
 
     Null reply or gold is false. In order: multi-select gold (set equality); multiple choice with options (letters, else
     texts); multiple choice without options (letters); interval gold (overlap at least half); number lists; one number
-    stated in prose; long gold (null); normalised equality.
+    stated in prose; long gold (null); normalised equality. Parts are computed once per row, in projections of their own.
     """
-    r, g = _col(reply), _col(gold)
     opts = _col(options) if options is not None else F.lit(None).cast("array<string>")
-    wide = F.coalesce(F.size(opts) > 10, F.lit(False))
-    many = plain_marks(g).rlike(rf"^\s*[{LETTERS}](\s*,\s*[{LETTERS}])+\s*$") | (wide & plain_marks(g).rlike(rf"^\s*[{LETTERS_WIDE}](\s*,\s*[{LETTERS_WIDE}])+\s*$"))
-    has = F.coalesce(F.size(opts) > 0, F.lit(False))
     choice = F.coalesce(F.size(opts) >= 2, F.lit(False))
     if form is not None:
         choice = choice | F.coalesce(F.upper(F.trim(_col(form))) == "MCQ", F.lit(False))
-    rl, gl = reply_letter(r, opts), reply_letter(g, opts)
-    text_at = lambda letter, raw: norm_text(F.coalesce(strip_letter(F.try_element_at(opts, index_of(letter) + 1)), raw))
-    by_text = (text_at(rl, r) != "") & (text_at(rl, r) == text_at(gl, g))
-    with_options = F.when(rl.isNotNull() & gl.isNotNull(), rl == gl).otherwise(by_text)
-    bare_r, bare_g = reply_letter(r), reply_letter(g)
-    nr, ng = numbers(r), numbers(g)
-    same_text = (norm_text(r) != "") & (norm_text(r) == norm_text(g))
-    span = F.when(nr.isNotNull(), F.when(F.size(nr) == 2, nr)).otherwise(first_interval(r))
-    iou = interval_iou(span[0], span[1], ng[0], ng[1])
-    near = F.forall(F.zip_with(nr, ng, lambda a, b: F.abs(a - b) <= SAME_NUMBER), lambda ok: ok)
-    said = stated_number(r)
+    parts = {"__r": _col(reply), "__g": _col(gold), "__o": opts, "__choice": choice}
+    step = df.withColumns(parts)
+    step = with_letter(with_letter(step, "__rl", "__r", "__o"), "__gl", "__g", "__o")
+    step = with_letter(with_letter(step, "__br", "__r"), "__bg", "__g")
+    at = lambda letter, raw: norm_text(F.coalesce(strip_letter(F.try_element_at(F.col("__o"), index_of(F.col(letter)) + 1)), F.col(raw)))
+    step = step.withColumns({"__nr": numbers("__r"), "__ng": numbers("__g"), "__tr": norm_text("__r"), "__tg": norm_text("__g"), "__said": stated_number("__r"), "__first": first_interval("__r"), "__or": at("__rl", "__r"), "__og": at("__gl", "__g"), "__plain": plain_marks("__g")})
+    c = {n: F.col(f"__{n}") for n in ("r", "g", "o", "choice", "rl", "gl", "br", "bg", "nr", "ng", "tr", "tg", "said", "first", "or", "og", "plain")}
+    wide = F.coalesce(F.size(c["o"]) > 10, F.lit(False))
+    listed = lambda alphabet: c["plain"].rlike(rf"^\s*[{alphabet}](\s*,\s*[{alphabet}])+\s*$")
+    with_options = F.when(c["rl"].isNotNull() & c["gl"].isNotNull(), c["rl"] == c["gl"]).otherwise((c["or"] != "") & (c["or"] == c["og"]))
+    same_text = (c["tr"] != "") & (c["tr"] == c["tg"])
+    span = F.when(c["nr"].isNotNull(), F.when(F.size(c["nr"]) == 2, c["nr"])).otherwise(c["first"])
+    iou = interval_iou(span[0], span[1], c["ng"][0], c["ng"][1])
+    near = F.forall(F.zip_with(c["nr"], c["ng"], lambda a, b: F.abs(a - b) <= SAME_NUMBER), lambda ok: ok)
     rest = (
-        F.when(F.size(ng) == 2, F.when(span.isNotNull(), iou >= IOU_MIN).otherwise(same_text))
-        .when(nr.isNotNull() & ng.isNotNull(), (F.size(nr) == F.size(ng)) & near)
-        .when(F.size(ng) == 1, F.when(said.isNotNull(), F.abs(said - ng[0]) <= SAME_NUMBER).otherwise(same_text))
-        .when(F.size(F.split(norm_text(g), " ")) >= LONG_TEXT_WORDS, F.lit(None).cast("boolean"))
+        F.when(F.size(c["ng"]) == 2, F.when(span.isNotNull(), iou >= IOU_MIN).otherwise(same_text))
+        .when(c["nr"].isNotNull() & c["ng"].isNotNull(), (F.size(c["nr"]) == F.size(c["ng"])) & near)
+        .when(F.size(c["ng"]) == 1, F.when(c["said"].isNotNull(), F.abs(c["said"] - c["ng"][0]) <= SAME_NUMBER).otherwise(same_text))
+        .when(F.size(F.split(c["tg"], " ")) >= LONG_TEXT_WORDS, F.lit(None).cast("boolean"))
         .otherwise(same_text)
     )
-    return (
-        F.when(r.isNull() | g.isNull(), F.lit(False))
-        .when(many, letter_set(r, wide).eqNullSafe(letter_set(g, wide)))
-        .when(choice & has, with_options)
-        .when(choice & bare_r.isNotNull() & bare_g.isNotNull(), bare_r == bare_g)
+    result = (
+        F.when(c["r"].isNull() | c["g"].isNull(), F.lit(False))
+        .when(listed(LETTERS) | (wide & listed(LETTERS_WIDE)), letter_set(c["r"], wide).eqNullSafe(letter_set(c["g"], wide)))
+        .when(c["choice"] & F.coalesce(F.size(c["o"]) > 0, F.lit(False)), with_options)
+        .when(c["choice"] & c["br"].isNotNull() & c["bg"].isNotNull(), c["br"] == c["bg"])
         .otherwise(rest)
     )
+    return step.withColumn(out, result).select(*[x for x in df.columns if x != out], out)
 
 
 def question_template(c: Column | str) -> Column:

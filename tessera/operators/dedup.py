@@ -26,7 +26,7 @@ def cosine_pairs(items: DataFrame, key: str, block: list[str], vector: str, thre
     cells = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(o, F.col("t")).alias("x"), F.greatest(o, F.col("t")).alias("y")))
     cut = cut.withColumn("c", F.explode(cells)).select("blk", "c.x", "c.y", "t", "id", "vec")
 
-    def compare(key_, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(key_, pdf):
         x, y = key_[1], key_[2]
         left, right = (pdf, pdf) if x == y else (pdf[pdf["t"] == x], pdf[pdf["t"] == y])
         if left.empty or right.empty:

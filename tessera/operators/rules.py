@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.names import missing
-from tessera.functions.text import is_english, reply_letter, same_wrong, score
+from tessera.functions.text import is_english, reply_letter, same_wrong, with_score
 from tessera.operators.aggregates import rate
 from tessera.operators.joins import overlay
 
@@ -85,9 +85,9 @@ def preclassify(traces: DataFrame, options: str = "options") -> DataFrame:
     """
     opts = F.col(options)
     used = F.when(reply_letter("pred", opts).isNull() & reply_letter("orig_pred", opts).isNotNull(), F.col("orig_pred")).otherwise(F.col("pred"))
-    rows = traces.withColumn("used", used).filter(score("pred", "gold", opts, "form").isNotNull())
-    blind = F.when(F.col("blind_pred").isNotNull(), score("blind_pred", "gold", opts, "form"))
-    rows = rows.withColumn("blind_correct", blind)
+    rows = with_score(traces.withColumn("used", used), "__known", "pred", "gold", opts, "form").filter("__known is not null").drop("__known")
+    rows = with_score(rows, "blind_correct", "blind_pred", "gold", opts, "form")
+    rows = rows.withColumn("blind_correct", F.when(F.col("blind_pred").isNotNull(), F.col("blind_correct")))
     prior = ~F.col("blind_correct") & same_wrong(F.col("blind_pred"), F.col("used"), opts)
     rows = rows.withColumn("preclass", F.when(prior, "language_prior_dominated").otherwise("none"))
     return rows.withColumns({"to_judge": F.col("preclass") == "none", "vision_introduced_error": F.coalesce("blind_correct", F.lit(False))})
