@@ -22,6 +22,7 @@ from tessera.storage import Scratch
 COARSE = 2_000  # most values of a coarse feature; their masses stay on the driver
 BUCKETS = 512
 PER_VALUE = 8  # candidates of one fine value per round
+FINE = 0.03  # how far the last threshold may lie below one that would take too few
 REPEAT = 0.2  # a threshold is used again while a round adds this share of what is still wanted
 
 
@@ -52,7 +53,9 @@ def diverse_subset(records: DataFrame, key: str, fine: dict[str, Column], coarse
     mass: dict[str, dict[str, int]] = {n: {} for n in few}
     state = rows.withColumns({f"m_{n}": F.lit(0).cast("long") for n in many})
     chosen: list[DataFrame] = []
-    have, round_, level = 0, 0, 4.0 * sum(1.0 if about[n] >= size else 0.5 for n in names)
+    have, round_, low = 0, 0, 0.0
+    level = 4.0 * sum(1.0 if about[n] >= size else 0.5 for n in names)
+    above = 2 * level
     while have < size:
         round_ += 1
         now = _with_masses(spark, state, few, mass)
@@ -66,6 +69,9 @@ def diverse_subset(records: DataFrame, key: str, fine: dict[str, Column], coarse
         worst = sum((F.when(F.col(f"v_{n}").isNotNull(), _gain(F.col(f"m_{n}") + F.col(f"r_{n}") - 1, weight[n])).otherwise(0.0) for n in names), F.lit(0.0))
         taken = scratch.put(judged.filter(worst >= level).select("id", "b", "h", *[f"v_{n}" for n in names]))
         n_taken = taken.count()
+        if have + n_taken > size and above - level > FINE * level > 0:
+            low, level = level, (above + level) / 2  # too many: between this threshold and the last one
+            continue
         if have + n_taken > size:
             ranked = exact_rank(taken, [], ["b", "h", "id"], "rank", scratch)
             taken = scratch.put(ranked.filter(F.col("rank") <= size - have).drop("rank"))
@@ -84,7 +90,9 @@ def diverse_subset(records: DataFrame, key: str, fine: dict[str, Column], coarse
                 state = scratch.put(state)
                 scratch.drop(old)
         if n_taken < REPEAT * (size - have + n_taken):
-            level = level * shrink if n_taken or level > 1e-6 else -1.0  # below all: records whose features are all null
+            above, level = level, max(level * shrink, (level + low) / 2)
+            if not n_taken and level < 1e-6:
+                level = -1.0  # below all: records whose features are all null
     out = chosen[0]
     for part in chosen[1:]:
         out = out.union(part)
