@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _i(c: Column | int) -> Column:
@@ -99,3 +103,23 @@ def certificate(places: Column) -> Column:
 def token_fit(estimate: Column, budget: Column) -> Column:
     """Factor that shrinks frame sides to a token budget; 1 when they fit."""
     return F.when(estimate > budget, F.sqrt(budget / estimate) * 0.98).otherwise(F.lit(1.0))
+
+
+def seeded_places(kind: str, n: int, k: int, item: str, seed: int = 42) -> list[int]:
+    """Places of the conditions that need a generator: ``shuffle`` (one order for all items) and ``window`` (a start per item)."""
+    if n <= 0:
+        return []
+    if kind == "window":
+        start = random.Random(f"{seed}|{item}").uniform(0.0, 0.9) * (n - 1)
+        places = [round(start + i * 0.1 * (n - 1) / max(k - 1, 1)) for i in range(k)]
+    else:
+        places = [round(i * (n - 1) / max(k - 1, 1)) for i in range(k)]
+    places = list(dict.fromkeys(max(0, min(n - 1, p)) for p in places))
+    if kind == "shuffle":
+        random.Random(seed).shuffle(places)
+    return places
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def seeded_frames(kind: pd.Series, n: pd.Series, k: pd.Series, item: pd.Series) -> pd.Series:
+    return pd.Series([seeded_places(a, int(b), int(c), d) for a, b, c, d in zip(kind, n, k, item)])
