@@ -12,7 +12,8 @@ buckets. The judged gain is therefore never above the true one, and no task hold
 
 from __future__ import annotations
 
-import pyarrow as pa
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,16 +21,12 @@ from tessera.operators.ranks import exact_rank
 from tessera.storage import Scratch
 
 COARSE = 2_000  # most values of a coarse feature; their masses stay on the driver
-BUCKETS = 512
+BUCKETS = 256
 PER_VALUE = 8  # candidates of one fine value per round
 FINE = 0.03  # how far the last threshold may lie below one that would take too few
 REPEAT = 0.2  # a threshold is used again while a round adds this share of what is still wanted
 
 
-def _gain(mass: Column, weight: float) -> Column:
-    return F.lit(weight) * (F.sqrt(mass + 1) - F.sqrt(mass))
-
-
 def diverse_subset(records: DataFrame, key: str, fine: dict[str, Column], coarse: dict[str, Column], size: int, scratch: Scratch | None = None, shrink: float = 0.8, seed: int = 11) -> DataFrame:
     """(key, round): ``size`` records, or all if there are fewer; ``round`` is the round that added the record.
 
@@ -37,8 +34,7 @@ def diverse_subset(records: DataFrame, key: str, fine: dict[str, Column], coarse
     A coarse feature with more than ``COARSE`` values is treated as fine. Weights make all features count alike when the
     subset is spread evenly over their values.
     """
-    spark = records.sparkSession
-    scratch = scratch or Scratch(spark)
+    scratch = scratch or Scratch(records.sparkSession)
     names = [*fine, *coarse]
     rows = records.select(F.col(key).cast("string").alias("id"), *[c.cast("string").alias(f"v_{n}") for n, c in (fine | coarse).items()]).filter("id is not null")
     rows = rows.groupBy("id").agg(F.min(F.struct(*[f"v_{n}" for n in names])).alias("v")).select("id", "v.*")
@@ -54,35 +50,33 @@ def diverse_subset(records: DataFrame, key: str, fine: dict[str, Column], coarse
     state = rows.withColumns({f"m_{n}": F.lit(0).cast("long") for n in many})
     chosen: list[DataFrame] = []
     have, round_, low = 0, 0, 0.0
-    level = 4.0 * sum(1.0 if about[n] >= size else 0.5 for n in names)
+    level = 2.0 * sum(1.0 if about[n] >= size else 0.5 for n in names)
     above = 2 * level
     while have < size:
         round_ += 1
-        now = _with_masses(spark, state, few, mass)
-        own = sum((F.when(F.col(f"v_{n}").isNotNull(), _gain(F.col(f"m_{n}"), weight[n])).otherwise(0.0) for n in names), F.lit(0.0))
-        candidates = now.withColumn("own", own).filter(F.col("own") >= level)
+        candidates = state.mapInPandas(_worth(few, many, mass, weight, level), state.schema)
         for n in many:
             place = Window.partitionBy(F.coalesce(f"v_{n}", F.concat(F.lit("\0"), "id"))).orderBy("b", "h", "id")
             candidates = candidates.withColumn(f"r_{n}", F.row_number().over(place)).filter(F.col(f"r_{n}") <= PER_VALUE)
         candidates = scratch.put(candidates)
-        judged = _with_prefixes(candidates, few)
-        worst = sum((F.when(F.col(f"v_{n}").isNotNull(), _gain(F.col(f"m_{n}") + F.col(f"r_{n}") - 1, weight[n])).otherwise(0.0) for n in names), F.lit(0.0))
-        taken = scratch.put(judged.filter(worst >= level).select("id", "b", "h", *[f"v_{n}" for n in names]))
-        n_taken = taken.count()
+        upto = _prefixes(candidates, few)
+        taken = scratch.put(candidates.mapInPandas(_judge(few, many, mass, weight, level, upto), rows.schema))
+        counts = _counts(taken, few)
+        n_taken = counts.pop(("", ""), 0)
+        scratch.drop(candidates)
         if have + n_taken > size and above - level > FINE * level > 0:
             low, level = level, (above + level) / 2  # too many: between this threshold and the last one
             continue
         if have + n_taken > size:
             ranked = exact_rank(taken, [], ["b", "h", "id"], "rank", scratch)
-            taken = scratch.put(ranked.filter(F.col("rank") <= size - have).drop("rank"))
-            n_taken = size - have
-        scratch.drop(candidates)
+            chosen.append(ranked.filter(F.col("rank") <= size - have).select("id", F.lit(round_).alias("round")))
+            break
         if n_taken:
             have += n_taken
             chosen.append(taken.select("id", F.lit(round_).alias("round")))
+            for (n, v), c in counts.items():
+                mass[n][v] = mass[n].get(v, 0) + c
             if have < size:
-                for r in taken.select(F.explode(F.array(*[F.struct(F.lit(n).alias("f"), F.col(f"v_{n}").alias("v")) for n in few]) if few else F.expr("array(struct('' as f, cast(null as string) as v))")).alias("x")).filter("x.v is not null").groupBy("x.f", "x.v").count().collect():
-                    mass[r.f][r.v] = mass[r.f].get(r.v, 0) + r["count"]
                 old, state = state, state.join(taken.select("id"), "id", "left_anti")
                 for n in many:
                     added = taken.filter(F.col(f"v_{n}").isNotNull()).groupBy(f"v_{n}").agg(F.count("*").alias("__add"))
@@ -99,22 +93,58 @@ def diverse_subset(records: DataFrame, key: str, fine: dict[str, Column], coarse
     return out.withColumnRenamed("id", key)
 
 
-def _with_masses(spark, state: DataFrame, few: list[str], mass: dict[str, dict[str, int]]) -> DataFrame:
-    """Adds the coarse masses; each joined table has at most ``COARSE`` rows."""
-    for n in few:
-        table = spark.createDataFrame(pa.table({f"v_{n}": pa.array([*mass[n]], pa.string()), f"m_{n}": pa.array([*mass[n].values()], pa.int64())}))
-        state = state.join(F.broadcast(table), f"v_{n}", "left").withColumn(f"m_{n}", F.coalesce(f"m_{n}", F.lit(0)))
-    return state
+def _gains(pdf: pd.DataFrame, few, many, mass, weight, ahead: dict[str, np.ndarray]) -> np.ndarray:
+    """Gains of records with ``ahead`` further records of the same values before them; a null value adds nothing."""
+    total = np.zeros(len(pdf))
+    for n in [*few, *many]:
+        value = pdf[f"v_{n}"]
+        m = (value.map(mass[n]).fillna(0) if n in mass else pdf[f"m_{n}"]).to_numpy(float) + ahead.get(n, 0)
+        total += np.where(value.notna(), weight[n] * (np.sqrt(m + 1) - np.sqrt(m)), 0.0)
+    return total
 
 
-def _with_prefixes(candidates: DataFrame, few: list[str]) -> DataFrame:
-    """Adds r_n: candidates of the same coarse value up to the end of the record's hash bucket, an upper bound of its rank.
+def _worth(few, many, mass, weight, level):
+    """Records whose gain still reaches the threshold; the coarse masses, at most ``COARSE`` values each, travel with the task."""
 
-    The joined histogram has at most values x ``BUCKETS`` rows; whether it is broadcast is left to its measured size.
-    """
-    for n in few:
-        hist = candidates.filter(F.col(f"v_{n}").isNotNull()).groupBy(f"v_{n}", "b").agg(F.count("*").alias("c"))
-        upto = Window.partitionBy(f"v_{n}").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-        hist = hist.withColumn(f"r_{n}", F.sum("c").over(upto)).drop("c")
-        candidates = candidates.join(hist, [f"v_{n}", "b"], "left")
-    return candidates
+    def run(batches):
+        for pdf in batches:
+            keep = pdf[_gains(pdf, few, many, mass, weight, {}) >= level]
+            if len(keep):
+                yield keep
+
+    return run
+
+
+def _prefixes(candidates: DataFrame, few: list[str]) -> dict[str, dict[str, np.ndarray]]:
+    """Per coarse value, the candidates up to the end of each hash bucket: at most ``COARSE`` x ``BUCKETS`` numbers per feature."""
+    out: dict[str, dict[str, np.ndarray]] = {n: {} for n in few}
+    if few:
+        pairs = F.array(*[F.struct(F.lit(n).alias("f"), F.col(f"v_{n}").alias("v")) for n in few])
+        hist = candidates.select("b", F.explode(pairs).alias("x")).filter("x.v is not null").groupBy("x.f", "x.v", "b").count()
+        for r in hist.toPandas().itertuples(index=False):
+            out[r.f].setdefault(r.v, np.zeros(BUCKETS, dtype=np.int64))[r.b] = r.count
+    return {n: {v: np.cumsum(c) for v, c in d.items()} for n, d in out.items()}
+
+
+def _judge(few, many, mass, weight, level, upto):
+    """Candidates whose gain reaches the threshold even if every candidate that may stand before them were chosen."""
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            ahead = {n: pdf[f"r_{n}"].to_numpy(float) - 1 for n in many}
+            for n in few:
+                ahead[n] = np.array([upto[n][v][b] - 1 if v is not None else 0 for v, b in zip(pdf[f"v_{n}"], pdf["b"])], dtype=float)
+            keep = pdf[_gains(pdf, few, many, mass, weight, ahead) >= level]
+            if len(keep):
+                yield keep[["id", *[c for c in pdf.columns if c.startswith("v_")], "h", "b"]]
+
+    return run
+
+
+def _counts(taken: DataFrame, few: list[str]) -> dict[tuple[str, str], int]:
+    """Numbers of taken records per coarse value, and of all under ('', '')."""
+    pairs = F.array(F.struct(F.lit("").alias("f"), F.lit("").alias("v")), *[F.struct(F.lit(n).alias("f"), F.col(f"v_{n}").alias("v")) for n in few])
+    rows = taken.select(F.explode(pairs).alias("x")).filter("x.v is not null").groupBy("x.f", "x.v").count()
+    return {(r.f, r.v): r["count"] for r in rows.collect()}
