@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import frames, numeric, options, text
 from tessera.functions.names import canonical, missing, name_key, trimmed
-from tessera.operators import aggregates, dedup, joins, learner, ranks, rules, sampling, selection
+from tessera.operators import aggregates, dedup, joins, learner, ranks, reports, rules, sampling, selection
 from tessera.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -673,3 +673,123 @@ def prequential_learner(spark, folder):
 @query()
 def five_fold_attacker(spark, folder):
     return learner.five_fold(read(spark, folder, "embeddings").withColumn("grp", F.lit("all")), "grp", "vec_id", "embedding", "label")
+
+
+# Summary tables of the pipelines.
+
+
+@query(f"""with {LABELS}, x as (select model, count(*) as n, count(*) filter (status in ('ok', 'other')) as good, count(*) filter (status = 'disputed') as bad from labels_now group by 1)
+select model, n, round(good / n, 6) as settled, round(bad / n, 6) as disputed from x""")
+def status_rates(spark, folder):
+    out = reports.rates(labels(spark, folder).filter("status is not null"), ["model"], {"settled": F.col("status").isin("ok", "other"), "disputed": F.col("status") == "disputed"})
+    return out.withColumns({"settled": r6("settled"), "disputed": r6("disputed")})
+
+
+@query(f"""with {LABELS}, c as (select model, fine, count(*) as n from labels_now where fine is not null group by 1, 2), m as (select distinct model from labels_now), f as (select category as fine from failure_taxonomy)
+select model, fine, coalesce(n, 0) as n, round(coalesce(n, 0) / nullif(sum(coalesce(n, 0)) over (partition by model), 0), 6) as share from m cross join f left join c using (model, fine)""")
+def fine_category_table(spark, folder):
+    rows = labels(spark, folder)
+    out = reports.full_cells(rows, "model", "fine", rows, read(spark, folder, "failure_taxonomy").select(F.col("category").alias("fine")))
+    return out.withColumn("share", r6("share"))
+
+
+@query(f"""with {LABELS}, p as (select model, qid, sum((status = 'disputed')::int) as s, count(status) as n from labels_now group by 1, 2 having count(status) > 0) select model, round(sum(s) / sum(n), 6) as instance_rate, round(avg(s / n), 6) as item_rate from p group by 1""")
+def pooled_two_weightings(spark, folder):
+    out = reports.two_weightings(labels(spark, folder), ["model"], "qid", F.col("status") == "disputed")
+    return out.select("model", r6("instance_rate").alias("instance_rate"), r6("item_rate").alias("item_rate"))
+
+
+@query(f"""with {RESULTS} select event_type, count(*) as rerun, count(*) filter (correct) as recovered, count(*) filter (correct is null) as unscorable, count(*) filter (k > 95) as refused, round(count(*) filter (correct) / nullif(count(correct), 0), 6) as rate from results group by 1""")
+def recovered_table(spark, folder):
+    rows = results(spark, folder).withColumns({"still_wrong": ~F.col("correct"), "refused": F.col("k") > 95})
+    return reports.recovered(rows, ["event_type"]).withColumn("rate", r6("rate"))
+
+
+@query(f"""with {LATEST_RESULTS}, s as (select distinct user_id, event_type from latest where event_type <> 'error'), c as (select user_id, event_type, correct as flipped from latest where user_id % 3 = 0)
+select event_type, count(*) as requested, count(c.user_id) as checked, count(*) filter (flipped) as flipped, round(count(*) filter (flipped) / nullif(count(flipped), 0), 6) as rate from s left join c using (user_id, event_type) group by 1""")
+def unstable_rate(spark, folder):
+    rows = latest_results(spark, folder)
+    checks = rows.filter("user_id % 3 = 0").withColumn("flipped", F.col("correct"))
+    return reports.flipped_rate(checks, rows.filter("event_type <> 'error'"), ["user_id", "event_type"], ["event_type"]).withColumn("rate", r6("rate"))
+
+
+@query(f"""with {ITEMS}, r as (select benchmark, video_id, case when options is null then 'open' when video_id is null then 'no_video' when attack_pct > 0.8 then 'easy' when duration_s > 1800 then 'long' else 'none' end as removed_by, case when attack_pct is null then 'text' else '' end as pending from items_now)
+select benchmark, count(*) as n, {", ".join(f"count(*) filter (removed_by = '{x}') as n_{x}" for x in FUNNEL)}, count(*) filter (removed_by = 'none') as remaining, count(*) filter (removed_by = 'none' and pending <> '') as pending, count(distinct case when removed_by = 'none' then video_id end) as videos from r group by 1""")
+def pool_summary(spark, folder):
+    rows = _removed(items(spark, folder, ["benchmark", "options", "video_id", "attack_pct", "duration_s"]))
+    rows = rows.withColumns({"removed_by": F.coalesce("removed_by", F.lit("none")), "pending_steps": F.when(F.col("attack_pct").isNull(), "text").otherwise("")})
+    return reports.pool_summary(rows, ["benchmark"], FUNNEL)
+
+
+@query(_quota_sql(50).replace("with ", "with picked as (with ", 1) + f""") , {ITEMS} select benchmark, count(*) as total, count(p.item_id) as selected, count(distinct p.video_id) as videos, {", ".join(f"count(*) filter (p.item_id is not null and capability_group = '{g}') as n_{g}" for g in CAPABILITIES)}, round(100.0 * count(p.item_id) / count(*), 6) as percent from items_now i left join picked p on p.item_id = i.item_id group by 1""")
+def source_table(spark, folder):
+    pool = items(spark, folder, ["benchmark", "video_id", "capability_group"]).withColumn("video_id", trimmed("video_id"))
+    out = reports.source_table(pool, quota_composition(spark, folder).select("item_id"), "benchmark", "item_id", "capability_group", CAPABILITIES)
+    return out.withColumn("percent", r6("percent"))
+
+
+@query(f"""with {ITEMS}, v as (select benchmark, {_ID.format("video_id")} as video_id, attack_pct, chance, duration_s from items_now where {SCORE_OK} and chance is not null and not isnan(chance) and duration_s is not null and not isnan(duration_s))
+select count(*) as items, count(distinct benchmark) as benchmarks, count(distinct video_id) as videos, round(median(attack_pct), 6) as attack_median, max(attack_pct) as attack_max, round(avg(chance), 6) as mean_chance, count(*) filter (duration_s >= 300) as long_items from v""")
+def selection_summary(spark, folder):
+    rows = items(spark, folder, ["benchmark", "video_id", "attack_pct", "chance", "duration_s"]).withColumn("video_id", trimmed("video_id"))
+    rows = rows.filter(~missing("attack_pct") & F.col("attack_pct").between(0, 1) & ~missing("chance") & ~missing("duration_s"))
+    out = reports.selection_summary(rows)
+    return out.withColumns({"attack_median": r6("attack_median"), "mean_chance": r6("mean_chance")})
+
+
+@query(f"with {LATEST_RESULTS} select event_type, count(*) as answered, count(correct) as scored, count(*) filter (correct) as correct from latest group by 1")
+def run_status(spark, folder):
+    rows = results(spark, folder).withColumn("seq", F.struct("ts", "event_id"))
+    return reports.run_status(rows, ["event_type"], ["user_id"])
+
+
+@query(f"with {LABELS}, c as (select fine, count(*) as n from labels_now where fine is not null group by 1), t as (select sum(n) as t from c) select fine, n, round(n / t, 6) as share from c cross join t where n / t > 0.02")
+def frequent_failures(spark, folder):
+    return reports.frequent(labels(spark, folder), "fine", 0.02).withColumn("share", r6("share"))
+
+
+@query("select o_custkey % 12 as benchmark, round(avg((o_orderkey % 3 <> 0)::int) - avg(1.0::double / (2 + o_orderkey % 4)), 6) as margin, avg((o_orderkey % 3 <> 0)::int) - avg(1.0::double / (2 + o_orderkey % 4)) <= 0.345 as near from orders group by 1")
+def near_chance(spark, folder):
+    reference, _, chance = _attack(spark, folder)
+    return reports.near_chance(reference.join(chance, ["benchmark", "item"]), ["benchmark"], 0.345).withColumn("margin", r6("margin"))
+
+
+@query(f"with {ITEMS}, c as (select video_id, benchmark, count(*) as n from items_now where video_id is not null group by 1, 2) select video_id, benchmark from (select *, row_number() over (partition by video_id order by n desc, benchmark) as r from c) where r = 1")
+def video_home_benchmark(spark, folder):
+    return aggregates.majority(items(spark, folder, ["video_id", "benchmark"]).filter("video_id is not null"), ["video_id"], "benchmark", [])
+
+
+@query(f"with {ITEMS}, b as (select *, chr(65 + answer_idx) as letter from items_now where options is not null and answer_idx between 0 and 15) select item_id, question || chr(10) || array_to_string(list_transform(options, lambda x, i: chr(64 + i::int) || '. ' || coalesce(x, '')), chr(10)) as rendered from b where question is not null")
+def rendered_items(spark, folder):
+    rows = items(spark, folder, ["question", "options", "answer_idx"]).filter("question is not null and options is not null and answer_idx between 0 and 15")
+    return rows.select("item_id", options.render_item(F.col("question"), F.col("options")).alias("rendered"))
+
+
+@query("select source, lang, text_id from (select source, lang, doc_id as text_id, row_number() over (partition by source order by doc_id) as r from documents where source is not null) where r = 1")
+def first_document_per_source(spark, folder):
+    rows = read(spark, folder, "documents").filter("source is not null").select("source", "lang", F.col("doc_id").alias("text_id"))
+    return selection.hardest_per(rows, ["source"], ["text_id"])
+
+
+@query(f"with {ITEMS}, s as (select item_id, benchmark from items_now where duration_s > 100 and not isnan(duration_s)) select i.item_id, i.benchmark from items_now i where i.item_id not in (select item_id from s)")
+def removed_items(spark, folder):
+    rows = items(spark, folder, ["benchmark", "duration_s"])
+    return rows.join(rows.filter((F.col("duration_s") > 100) & ~F.isnan("duration_s")).select("item_id"), "item_id", "left_anti").select("item_id", "benchmark")
+
+
+@query()
+def pool_manifest(spark, folder):
+    rows = items(spark, folder, ["benchmark", "options", "answer", "video_id"]).withColumn("g", options.resolve_gold(F.col("answer"), F.col("options")))
+    return reports.manifest(rows.select("benchmark", "video_id", F.col("g.format").alias("form"), F.col("g.reason").alias("reason")), ["benchmark"])
+
+
+@query()
+def release_summary(spark, folder):
+    return reports.release(items(spark, folder, ["capability_group", "benchmark", "license"]), ["capability_group", "benchmark", "license"])
+
+
+@query()
+def seeded_condition_frames(spark, folder):
+    kinds = F.explode(F.array(F.lit("uniform"), F.lit("shuffle"), F.lit("window"))).alias("kind")
+    rows = read(spark, folder, "video_meta").filter("n_frames > 0").select("video_id", "n_frames", kinds)
+    return rows.select("video_id", "kind", frames.seeded_frames("kind", "n_frames", F.lit(8), "video_id").alias("places"))
