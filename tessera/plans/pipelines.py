@@ -11,6 +11,7 @@ from tessera.functions import options, text
 from tessera.operators import aggregates, dedup, joins, reports, rules, sampling
 from tessera.plans.stages import call_model
 from tessera.sources import catalog, readers, sinks
+from tessera.storage import Scratch
 
 
 @dataclass
@@ -40,21 +41,25 @@ def onboard(rows: DataFrame, spec: readers.IngestSpec, order: str, videos: DataF
 
 def audit(items: DataFrame, folder: str, target: int = 300, skill: float = 0.5, threshold: float = 0.9) -> dict[str, DataFrame]:
     """Sample, near-duplicate screen with refill, model conditions, margins, levels and cards. A second run calls no model."""
-    sample = sampling.stratified_sample(items, "benchmark", "subtask", "item_id", target)
+    scratch = Scratch(items.sparkSession)  # every stage reads written tables, as stages of separate runs do
+    items = scratch.put(items)
+    sample = scratch.put(sampling.stratified_sample(items, "benchmark", "subtask", "item_id", target))
     drawn = items.join(sample.select(F.col("key").alias("item_id")), "item_id", "left_semi")
     vectors = catalog.embed(drawn.withColumn("t", options.render_item(F.col("question"), F.col("options"))), "t", f"{folder}/vectors")
     vectors = vectors.withColumn("sig", F.array_join(options.option_signature(F.col("options")), "|"))
-    drops = dedup.keep_smallest(dedup.cosine_pairs(vectors, "item_id", ["video_id", "sig", "answer_idx"], "vec", threshold))
+    pairs = scratch.put(dedup.cosine_pairs(vectors, "item_id", ["video_id", "sig", "answer_idx"], "vec", threshold))
+    drops = scratch.put(dedup.keep_smallest(pairs, scratch))
     marks = sample.select(F.col("grp").alias("benchmark"), F.col("key").alias("item_id")).join(drops.select(F.col("id").alias("item_id"), F.lit(True).alias("removed")), "item_id", "left")
     kept = sampling.refill(items.withColumn("eligible", F.lit(True)), marks, "benchmark", "subtask", "item_id", target).select(F.col("key").alias("item_id"))
     final = items.join(kept, "item_id", "left_semi").withColumns({"k": F.size("options"), "gold": text.letter_of(F.col("answer_idx")), "chance": 1.0 / F.size("options")})
+    final = scratch.put(final)
     asked = final.select("item_id", F.lit(0).alias("perm_id"), "gold", "k", F.lit(64).alias("frames"))
     conditions = {"reference": (skill, None), "blind": (0.1, "text"), "single": (0.2, "frame")}
     scored, attackers = {}, None
     for name, (s, level) in conditions.items():
         replies = call_model(asked, f"{folder}/answers", name, skill=s).filter(F.col("model") == name)
         judged = text.with_score(replies.join(final, "item_id"), "correct", "pred", "gold", "options").select("benchmark", F.col("item_id").alias("item"), "correct")
-        scored[name] = judged
+        scored[name] = judged = scratch.put(judged)
         if level:
             part = judged.withColumns({"attacker": F.lit(name), "level": F.lit(level)})
             attackers = part if attackers is None else attackers.union(part)
@@ -69,16 +74,17 @@ def audit(items: DataFrame, folder: str, target: int = 300, skill: float = 0.5,
 
 def evaluate(items: DataFrame, folder: str, model: str, skill: float = 0.5, groups: list[str] | None = None) -> DataFrame:
     """Video run (one order) and blind run (four orders) of one model, scored and summed up per model."""
-    base = items.withColumns({"k": F.size("options"), "gold": text.letter_of(F.col("answer_idx"))})
+    scratch = Scratch(items.sparkSession)
+    base = scratch.put(items.withColumns({"k": F.size("options"), "gold": text.letter_of(F.col("answer_idx"))}))
     video = base.select("item_id", F.lit(-1).alias("perm_id"), "gold", "k", F.lit(64).alias("frames"))
     fanned = sampling.fan_out(base.select("item_id", "k", "options", "answer_idx"), "item_id", "k")
     blind = fanned.select("item_id", "perm_id", options.permuted_gold(F.col("perm"), F.col("answer_idx")).alias("gold"), "k", F.lit(0).alias("frames"))
-    asked = video.union(blind)
+    asked = scratch.put(video.union(blind))
     log = call_model(asked, f"{folder}/answers", model, skill=skill).filter(F.col("model") == model)
     rows = log.join(asked.select("item_id", "perm_id", "gold", "frames"), ["item_id", "perm_id"]).join(base.select("item_id", "options", "capability_group"), "item_id")
-    rows = text.with_score(rows, "correct", "pred", "gold", F.col("options"))
+    rows = scratch.put(text.with_score(rows, "correct", "pred", "gold", F.col("options")))
     rows = rows.filter("correct is not null").withColumn("protocol", F.when(F.col("perm_id") < 0, "video").otherwise("blind"))
-    return rules.evaluation_table(rows, groups or [], items.count())
+    return rules.evaluation_table(rows, groups or [], base.count())
 
 
 def leaderboard(tables: list[DataFrame]) -> DataFrame:
