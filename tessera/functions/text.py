@@ -70,8 +70,9 @@ def _option_place(s: Column, norm: Column, texts: Column) -> Column:
 
 
 def _option_texts(opts: Column) -> Column:
-    bare = lambda o: norm_text(strip_letter(o))
-    return F.transform(opts, lambda o, i: F.struct(i.alias("i"), norm_text(o).alias("whole"), bare(o).alias("bare"), _flat(bare(o)).alias("flat")))
+    """struct(i, whole, bare, flat) per option: normalised with and without its letter, and with dots and dashes as blanks."""
+    pairs = F.transform(opts, lambda o, i: F.struct(i.alias("i"), norm_text(o).alias("whole"), norm_text(strip_letter(o)).alias("bare")))
+    return F.transform(pairs, lambda x: F.struct(x["i"].alias("i"), x["whole"].alias("whole"), x["bare"].alias("bare"), _flat(x["bare"]).alias("flat")))
 
 
 def reply_letter(reply: Column | str, options: Column | str | None = None) -> Column:
@@ -158,11 +159,18 @@ def with_score(df: DataFrame, out: str, reply: Column | str, gold: Column | str,
     if form is not None:
         choice = choice | F.coalesce(F.upper(F.trim(_col(form))) == "MCQ", F.lit(False))
     parts = {"__r": _col(reply), "__g": _col(gold), "__o": opts, "__choice": choice}
-    step = df.withColumns(parts)
-    step = with_letter(with_letter(step, "__rl", "__r", "__o"), "__gl", "__g", "__o")
-    step = with_letter(with_letter(step, "__br", "__r"), "__bg", "__g")
+    step = df.withColumns(parts).withColumns({"__sr": F.trim(plain_marks("__r")), "__sg": F.trim(plain_marks("__g")), "__w": F.coalesce(F.size("__o") > 10, F.lit(False))})
+    step = step.withColumns({"__dr": _said_letter(F.col("__sr"), F.col("__w")), "__dg": _said_letter(F.col("__sg"), F.col("__w"))})
+    vague = F.col("__dr").isNull() | F.col("__dg").isNull()  # only then do the options' texts matter
+    step = step.withColumn("__t", F.when(vague, _option_texts(F.col("__o"))))
+    place = lambda said, s, n: F.coalesce(F.col(said), F.when(vague, letter_of(_option_place(F.col(s), n, F.col("__t")))))
+    step = step.withColumns({"__rl": place("__dr", "__sr", norm_text("__sr")), "__gl": place("__dg", "__sg", norm_text("__sg"))})
+    narrow = lambda said, s: F.when(F.col("__w"), _said_letter(F.col(s))).otherwise(F.col(said))
+    by_rule = ~(F.col("__choice") & F.coalesce(F.size("__o") > 0, F.lit(False)))  # no options to compare with
+    step = step.withColumns({"__tr": F.when(by_rule | vague, norm_text("__r")), "__tg": F.when(by_rule | vague, norm_text("__g"))})
     at = lambda letter, raw: norm_text(F.coalesce(strip_letter(F.try_element_at(F.col("__o"), index_of(F.col(letter)) + 1)), F.col(raw)))
-    step = step.withColumns({"__nr": numbers("__r"), "__ng": numbers("__g"), "__tr": norm_text("__r"), "__tg": norm_text("__g"), "__said": stated_number("__r"), "__first": first_interval("__r"), "__or": at("__rl", "__r"), "__og": at("__gl", "__g"), "__plain": plain_marks("__g")})
+    open_ = F.col("__rl").isNull() | F.col("__gl").isNull()
+    step = step.withColumns({"__br": narrow("__dr", "__sr"), "__bg": narrow("__dg", "__sg"), "__nr": F.when(by_rule, numbers("__r")), "__ng": F.when(by_rule, numbers("__g")), "__said": F.when(by_rule, stated_number("__r")), "__first": F.when(by_rule, first_interval("__r")), "__or": F.when(open_, at("__rl", "__r")), "__og": F.when(open_, at("__gl", "__g")), "__plain": plain_marks("__g")})
     c = {n: F.col(f"__{n}") for n in ("r", "g", "o", "choice", "rl", "gl", "br", "bg", "nr", "ng", "tr", "tg", "said", "first", "or", "og", "plain")}
     wide = F.coalesce(F.size(c["o"]) > 10, F.lit(False))
     listed = lambda alphabet: c["plain"].rlike(rf"^\s*[{alphabet}](\s*,\s*[{alphabet}])+\s*$")
