@@ -104,7 +104,7 @@ def resolve_references(items: DataFrame, ref: str, index: DataFrame) -> DataFram
     return items.join(hits, ref, "left")
 
 
-def video_index(files: DataFrame, path: str, archive: str) -> DataFrame:
+def file_keys(files: DataFrame, path: str, archive: str) -> DataFrame:
     """(key, location, priority): every file under its path, base name and stem; files outside archives come first."""
     base = F.regexp_extract(path, r"([^/]+)$", 1)
     keys = F.array_distinct(F.array(F.col(path), base, F.regexp_replace(base, r"\.[^.]+$", "")))

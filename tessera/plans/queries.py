@@ -583,7 +583,7 @@ def frames_per_second(spark, folder):
 def resolved_videos(spark, folder):
     files = read(spark, folder, "video_meta").select(F.concat(F.lit("videos/"), trimmed("video_id"), F.lit(".mp4")).alias("path"), F.when(F.col("n_frames") % 2 == 0, F.lit("part.tar")).alias("archive"))
     rows = items(spark, folder, ["video"])
-    return joins.resolve_references(rows, "video", joins.video_index(files, "path", "archive")).select("item_id", "location")
+    return joins.resolve_references(rows, "video", joins.file_keys(files, "path", "archive")).select("item_id", "location")
 
 
 # Registry and tables.

@@ -28,7 +28,7 @@ def annotation_rows(n=80):
 def onboarded(spark):
     df = spark.createDataFrame(annotation_rows(), "seq int, video string, question string, options array<string>, answer string, task string")
     files = spark.createDataFrame([(f"data/clips/v{i}.mp4", None) for i in range(19)] + [("v19.mp4", "a.tar")], "path string, archive string")
-    return pipelines.onboard(df, readers.IngestSpec("Toy"), "seq", joins.video_index(files, "path", "archive"))
+    return pipelines.onboard(df, readers.IngestSpec("Toy"), "seq", joins.file_keys(files, "path", "archive"))
 
 
 def test_onboarding(spark, onboarded):
