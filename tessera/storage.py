@@ -20,6 +20,9 @@ def shared_folder(spark: SparkSession) -> str:
         option = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = option.get() if option.isDefined() else None
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("a cluster must name its shared folder in spark.checkpoint.dir")
         folder = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(folder)
         spark.conf.set("spark.checkpoint.dir", folder)
