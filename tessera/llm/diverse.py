@@ -27,7 +27,7 @@ FINE = 0.03  # how far the last threshold may lie below one that would take too
 REPEAT = 0.2  # a threshold is used again while a round adds this share of what is still wanted
 
 
-def diverse_subset(records: DataFrame, key: str, fine: dict[str, Column], coarse: dict[str, Column], size: int, scratch: Scratch | None = None, shrink: float = 0.8, seed: int = 11) -> DataFrame:
+def diverse_subset(records: DataFrame, key: str, fine: dict[str, Column], coarse: dict[str, Column], size: int, scratch: Scratch | None = None, shrink: float = 0.9, seed: int = 11) -> DataFrame:
     """(key, round): ``size`` records, or all if there are fewer; ``round`` is the round that added the record.
 
     A null feature value adds nothing. Null keys are left out and equal keys count once (with the smallest feature values).
