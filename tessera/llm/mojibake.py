@@ -7,7 +7,9 @@ sentence must encode strictly in B and those bytes decode strictly in A, and the
 Where parts of a sentence lost bytes, UTF-8 chains are
 undone in every run of non-ASCII characters that still decodes: strict UTF-8 is proof enough. U+FFFD is the trace of a decoding that lost bytes: such
 text is reported but cannot be restored. A single-byte encoding read as another decodes strictly whatever the text is; there
-the outcome must also consist of words that are no rarer in the whole corpus than those it replaces.
+the outcome must also consist of words that are no rarer in the whole corpus than those it replaces. Words are counted over
+distinct texts, without the text in question, and looked up by a join with the counts of all words. A sentence that the
+classifier is sure is garbled is reported even where no inversion is accepted.
 """
 
 from __future__ import annotations
@@ -22,15 +24,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import Scratch
+
 SAMPLE = 300  # clean sentences per language label for training, at most
 LABELS = 40  # language labels, the most frequent ones
 COPIES = 7  # garbled copies per sampled sentence, at most
 WIDTH = 4096
 EPOCHS = 6
-WORDS = 50_000  # commonest non-ASCII words of the corpus, kept for the last check
+SURE = 0.001  # a sentence that is less probably clean is reported, restored or not
 SENTENCE = re.compile(r"((?<=[.!?]) +|(?<=[。！？])|[\n\r]+)")
-_EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-_EDGE_PATTERN = "^[!-/:-@\\[-`{-~]+|[!-/:-@\\[-`{-~]+$"
+_EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "。！？"
 REPLACED = "�"
 
 # Which encoding was read as which.
@@ -142,17 +145,10 @@ def _dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 @dataclass
 class Detector:
-    """weights (bigram bucket x chain) and intercepts of the classifier; counts of the corpus' commonest non-ASCII words."""
+    """weights (bigram bucket x chain) and intercepts of the classifier."""
 
     weights: np.ndarray
     intercept: np.ndarray
-    words: dict[str, int]
-
-    def no_rarer(self, fixed: str, text: str) -> bool:
-        """Whether the words that a restoration brings in are at least as common in the corpus as those it replaces."""
-        new, old = (Counter(w.strip(_EDGES) for w in t.split(" ") if not w.isascii()) for t in (fixed, text))
-        count = lambda ws: sum(n * np.log1p(self.words.get(w, 0)) for w, n in ws.items())
-        return count(new - old) >= count(old - new)
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
         out = []
@@ -175,7 +171,7 @@ def suspicious(text: str) -> bool:
     return any(invert(text, k) is not None for k, c in enumerate(CHAINS) if c[-1][0] == "utf-8" and _table(c[-1][1]) is not None)
 
 
-def train(clean: list[str], words: dict[str, int] | None = None, seed: int = 5) -> Detector:
+def train(clean: list[str], seed: int = 5) -> Detector:
     """Softmax regression by Adam over clean sentences and garbled copies; repeatable for the same sentences."""
     rng = np.random.default_rng(seed)
     clean = [t for t in sorted(set(clean)) if not t.isascii() and not suspicious(t)]
@@ -190,7 +186,7 @@ def train(clean: list[str], words: dict[str, int] | None = None, seed: int = 5)
     w, b = np.zeros((WIDTH, CLEAN + 1), dtype=np.float32), np.zeros(CLEAN + 1, dtype=np.float32)
     b[CLEAN] = 2.0
     if not texts:
-        return Detector(w, b, words or {})
+        return Detector(w, b)
     sparse = [_sparse(t) for t in texts]
     m, v, step = np.zeros_like(w), np.zeros_like(w), 0
     y = np.array(labels)
@@ -209,7 +205,7 @@ def train(clean: list[str], words: dict[str, int] | None = None, seed: int = 5)
             v = 0.995 * v + 0.005 * g * g
             w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.995**step)) + 1e-8)
             b -= 0.5 * p.mean(0)
-    return Detector(w, b, words or {})
+    return Detector(w, b)
 
 
 def training_sentences(docs: DataFrame, text: str, label: str, per_label: int = SAMPLE, labels: int = LABELS) -> list[str]:
@@ -222,22 +218,49 @@ def training_sentences(docs: DataFrame, text: str, label: str, per_label: int =
     return [r.s for r in rows.select("s").collect()]
 
 
-def common_words(docs: DataFrame, text: str, most: int = WORDS) -> dict[str, int]:
-    """Counts over all documents of the ``most`` commonest blank-separated words with non-ASCII characters, ties by word."""
-    words = docs.select(F.explode(F.split(text, "[ \n\r]+")).alias("w")).select(F.regexp_replace("w", _EDGE_PATTERN, "").alias("w"))
-    counts = words.filter(F.col("w").rlike(r"[^\x00-\x7f]") & (F.length("w") <= 60)).groupBy("w").agg(F.count("*").alias("n"))
-    return {r.w: r.n for r in counts.filter("n > 1").orderBy(F.desc("n"), "w").limit(most).collect()}
+def _words(text: str) -> Counter:
+    """The words with non-ASCII characters of a sentence."""
+    return Counter(w for x in text.split(" ") if not (w := x.strip(_EDGES)).isascii())
+
+
+def words_of(text: str) -> list[str]:
+    """The distinct words with non-ASCII characters of a text, cut as ``restore`` cuts it."""
+    return sorted({w for s in SENTENCE.split(text) for w in _words(s)})
+
+
+def no_rarer(fixed: str, text: str, counts: dict[str, int]) -> bool:
+    """Whether the words that a restoration brings in are at least as common elsewhere in the corpus as those it replaces.
+
+    ``counts``: distinct texts with the word; the text itself is one of those of a replaced word.
+    """
+    new, old = _words(fixed), _words(text)
+    brought = sum(n * np.log1p(counts.get(w, 0)) for w, n in (new - old).items())
+    return brought >= sum(n * np.log1p(max(0, counts.get(w, 0) - 1)) for w, n in (old - new).items())
+
+
+def _passes(text: str, p: np.ndarray) -> bool:
+    """Whether a sentence is taken as clean without trying any inversion."""
+    return float(p[CLEAN]) > 0.995 and not _traces(text)
+
+
+def _whole(text: str) -> list[tuple[int, str]]:
+    """(chain, outcome) of every chain that can be undone over the whole sentence."""
+    core = text.rstrip("。！？")  # sentence marks that follow a garbled part
+    return [(k, fixed + text[len(core) :]) for k in range(CLEAN) if (fixed := invert(core, k)) is not None]
+
 
+def _needs_words(chain: int) -> bool:
+    return all(_table(a) is not None for a, _ in CHAINS[chain])
 
-def restore_sentence(text: str, p: np.ndarray, detector: Detector) -> tuple[str | None, int, bool]:
-    """(restored or null, chain, garbled) of one sentence with class probabilities ``p``."""
+
+def restore_sentence(text: str, p: np.ndarray, detector: Detector, counts: dict[str, int]) -> tuple[str | None, int, bool]:
+    """(restored or null, chain, garbled) of one sentence with class probabilities ``p`` and the counts of the words asked for."""
     clean = float(p[CLEAN])
-    if clean > 0.995 and not _traces(text):
+    if _passes(text, p):
         return None, CLEAN, False
     order = [int(k) for k in np.argsort(-p)[:14] if k != CLEAN]
-    sure = lambda k, fixed: any(_table(a) is None for a, _ in CHAINS[k]) or detector.no_rarer(fixed, text)
-    core = text.rstrip("。！？")  # sentence marks that follow a garbled part
-    whole = [(k, fixed + text[len(core) :]) for k in order[:8] if (fixed := invert(core, k)) is not None and sure(k, fixed)]
+    undone = dict(_whole(text))
+    whole = [(k, undone[k]) for k in order[:8] if k in undone and (not _needs_words(k) or no_rarer(undone[k], text, counts))]
     runs = [(k, fixed) for k in order if CHAINS[k][0][0] == "utf-8" and (fixed := _by_runs(text, k)) is not None]
     for tries in filter(None, (whole, runs)):
         after = detector.probabilities([f for _, f in tries])[:, CLEAN]
@@ -245,8 +268,7 @@ def restore_sentence(text: str, p: np.ndarray, detector: Detector) -> tuple[str
         best = int((after + 0.25 * p[[k for k, _ in tries]]).argmax())
         if CHAINS[tries[best][0]][0][0] == "utf-8" and clean < 0.5 or after[best] > max(0.5, clean + 0.1):
             return tries[best][1], tries[best][0], True
-    lost = clean < 0.001 and any(_table(b) is None for _, b in CHAINS[order[0]])  # a multi-byte reading drops bytes
-    lost = lost or (clean < 0.005 and CHAINS[order[0]][0][0] == "utf-8")  # bytes without a character were dropped
+    lost = clean < SURE or (clean < 0.005 and CHAINS[order[0]][0][0] == "utf-8")  # bytes without a character were dropped
     return None, order[0], lost or _traces(text)
 
 
@@ -256,13 +278,29 @@ def _by_runs(text: str, chain: int) -> str | None:
     return out if out != text else None
 
 
-def restore(texts: list[str | None], detector: Detector) -> list[tuple[bool, str | None, str | None, bool]]:
-    """(garbled, chains, restored text, complete) of each text; complete: nothing garbled is left."""
+def _sentences(texts: list[str | None]) -> tuple[list[list[str]], list[str]]:
+    """Sentences and the marks between them, per text, and all distinct non-ASCII ones."""
     split = [SENTENCE.split(t) if t and not t.isascii() else [] for t in texts]
-    todo = sorted({s for parts in split for s in parts if not s.isascii()})
-    known = {s: restore_sentence(s, p, detector) for s, p in zip(todo, detector.probabilities(todo))}
+    return split, sorted({s for parts in split for s in parts if not s.isascii()})
+
+
+def asked(texts: list[str | None], detector: Detector) -> list[list[str] | None]:
+    """Per text the words whose counts its restoration needs; null for a text whose sentences are all clean."""
+    split, todo = _sentences(texts)
+    need: dict[str, set[str]] = {}
+    for s, p in zip(todo, detector.probabilities(todo)):
+        if not _passes(s, p):
+            need[s] = {w for k, fixed in _whole(s) if _needs_words(k) for w in (*_words(fixed), *_words(s))}
+    return [sorted(set().union(*(need[s] for s in parts if s in need))) if any(s in need for s in parts) else None for parts in split]
+
+
+def restore(texts: list[str | None], detector: Detector, counts: list[dict[str, int]]) -> list[tuple[bool, str | None, str | None, bool]]:
+    """(garbled, chains, restored text, complete) of each text with the counts of its words; complete: nothing garbled is left."""
+    split, todo = _sentences(texts)
+    likely = dict(zip(todo, detector.probabilities(todo)))
     out = []
-    for t, parts in zip(texts, split):
+    for t, parts, words in zip(texts, split, counts):
+        known = {s: restore_sentence(s, likely[s], detector, words) for s in set(parts) if s in likely}
         hits = [known[s] for s in parts if s in known and known[s][2]]
         if not hits:
             out.append((False, None, None, True))
@@ -277,19 +315,35 @@ def find_garbled(docs: DataFrame, key: str, text: str, label: str) -> DataFrame:
     """(key, chains, restored, complete): one row per document with garbled characters.
 
     ``restored`` is the text with every restorable sentence restored, null where none is; ``complete`` tells whether all
-    garbled sentences were restored. Null, empty and pure ASCII texts are never garbled. Other columns are ignored.
+    garbled sentences were restored. Null, empty and pure ASCII texts are never garbled. Other columns are ignored. Equal
+    texts are judged once.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    detector = train(training_sentences(docs, text, label), common_words(docs, text))
+    scratch = Scratch(docs.sparkSession)
+    detector = train(training_sentences(docs, text, label))
+    narrow = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).filter(F.col(text).rlike(r"[^\x00-\x7f]") & F.col(key).isNotNull())
+    texts = scratch.put(narrow.select("__text").distinct())
+
+    def ask(batches):
+        for pdf in batches:
+            need = asked(pdf["__text"].tolist(), detector)
+            keep = [i for i, n in enumerate(need) if n is not None]
+            yield pd.DataFrame({"__text": pdf["__text"].iloc[keep].to_numpy(), "words": [need[i] for i in keep]})
+
+    def cut(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"w": [w for t in pdf["__text"] for w in words_of(t)]}, dtype=object)
 
     def find(batches):
         for pdf in batches:
-            found = restore(pdf["__text"].tolist(), detector)
+            found = restore(pdf["__text"].tolist(), detector, [dict(c) if c is not None else {} for c in pdf["counts"]])
             keep = [i for i, f in enumerate(found) if f[0]]
             rows = [found[i] for i in keep]
-            if not rows:
-                continue
-            yield pd.DataFrame({"__key": pdf["__key"].iloc[keep].to_numpy(), "chains": [r[1] for r in rows], "restored": [r[2] for r in rows], "complete": [r[3] for r in rows]})
-
-    narrow = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).filter(F.col(text).rlike(r"[^\x00-\x7f]") & F.col(key).isNotNull())
-    return narrow.mapInPandas(find, f"__key {kind}, chains string, restored string, complete boolean").withColumnRenamed("__key", key)
+            yield pd.DataFrame({"id": pdf["id"].iloc[keep].to_numpy(), "chains": [r[1] for r in rows], "restored": [r[2] for r in rows], "complete": [r[3] for r in rows]})
+
+    doubtful = scratch.put(texts.mapInPandas(ask, "__text string, words array<string>").withColumn("id", F.sha2("__text", 256)))
+    wanted = scratch.put(doubtful.select("id", F.explode("words").alias("w")))
+    counts = texts.mapInPandas(cut, "w string").groupBy("w").agg(F.count("*").alias("n"))
+    held = wanted.join(counts, "w").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("counts"))
+    found = scratch.put(doubtful.select("id", "__text").join(held, "id", "left").mapInPandas(find, "id string, chains string, restored string, complete boolean"))
+    named = narrow.select("__key", F.sha2("__text", 256).alias("id")).join(found, "id")
+    return named.select(F.col("__key").alias(key), "chains", "restored", "complete")

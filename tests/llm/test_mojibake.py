@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tessera.llm import mojibake as m
@@ -58,3 +59,21 @@ def test_empty_and_ascii_corpora(spark):
     df = spark.createDataFrame([(1, "plain", "en"), (2, None, None)], "doc_id long, text string, lang string")
     assert m.find_garbled(df, "doc_id", "text", "lang").collect() == []
     assert m.find_garbled(df.limit(0), "doc_id", "text", "lang").collect() == []
+
+
+def test_many_copies_of_a_garbled_text_are_found(spark, corpus):
+    clean = CLEAN["ru"][0]
+    bad = m.garble(clean, m.CHAINS.index((("cp1251", "latin-1"),)))
+    rows = [(i, t, "xx") for i, t in enumerate(corpus)] + [(5000 + i, bad, "xx") for i in range(len(corpus) // 2)]
+    got = {r.doc_id: r for r in m.find_garbled(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang").collect()}
+    assert all(5000 + i in got and got[5000 + i].restored == clean for i in range(len(corpus) // 2))
+
+
+def test_a_sure_sentence_is_reported_without_a_restoration(corpus):
+    detector = m.train(corpus)
+    bad = m.garble(CLEAN["ru"][3], m.CHAINS.index((("cp1251", "latin-1"),)))
+    chain = m.CHAINS.index((("cp1251", "latin-1"),))
+    p = np.zeros(m.CLEAN + 1)
+    p[chain], p[m.CLEAN] = 0.9995, 0.0005
+    assert m.restore_sentence(bad, p, detector, {w: 1000 for w in m.words_of(bad)}) == (None, chain, True)
+    assert m.no_rarer("été", "ÈtÈ", {"été": 1, "ÈtÈ": 2}) and not m.no_rarer("été", "ÈtÈ", {"été": 1, "ÈtÈ": 3})
