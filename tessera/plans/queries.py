@@ -14,6 +14,7 @@ from tessera.functions import frames, numeric, options, text
 from tessera.functions.names import canonical, missing, name_key, trimmed
 from tessera.operators import aggregates, dedup, joins, learner, ranks, reports, rules, sampling, selection
 from tessera.sources import readers, sinks
+from tessera.storage import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -651,12 +652,27 @@ def sample_refill(spark, folder):
     return sampling.refill(rows, marks, "benchmark", "fine_category", "item_id", 60)
 
 
+def _coverage_rows(spark, folder) -> DataFrame:
+    """Candidates of the coverage selection: whole templates, calibrated leader clusters of the videos, a missing attack_pct
+    as the largest. No table has vectors of videos: a hash of the video's name picks one of the embeddings."""
+    scratch = Scratch(spark)
+    rows = items(spark, folder, ["benchmark", "video_id", "capability_group", "fine_category", "duration_s", "attack_pct", "question"])
+    pct = F.when(~missing("attack_pct"), F.col("attack_pct"))
+    rows = rows.select("item_id", "benchmark", trimmed("video_id").alias("video_id"), frames.duration_group(F.col("duration_s")).alias("grp"), F.coalesce("capability_group", F.lit("none")).alias("scene"), F.coalesce(text.question_template("question"), F.lit("")).alias("template"), F.coalesce("fine_category", F.lit("none")).alias("task"), pct.alias("attack_pct"))
+    rows = scratch.put(rows.filter("video_id is not null and grp is not null"))
+    vectors = read(spark, folder, "embeddings")
+    last = vectors.agg((F.max("vec_id") + 1).alias("n"))
+    videos = rows.groupBy("video_id").agg(F.min("grp").alias("grp")).crossJoin(F.broadcast(last)).withColumn("vec_id", F.pmod(F.xxhash64("video_id"), "n"))
+    videos = scratch.put(videos.join(vectors.select("vec_id", "embedding"), "vec_id"))
+    clusters = selection.leader_clusters(videos, "video_id", "grp", "embedding", fixed=0.5).select(F.col("key").alias("video_id"), "cluster")
+    most = rows.agg(F.coalesce(F.max("attack_pct"), F.lit(0.0)).alias("most"))
+    rows = rows.join(clusters, "video_id", "left").withColumn("cluster", F.coalesce("cluster", F.concat(F.lit("video:"), F.col("video_id"))))
+    return rows.crossJoin(F.broadcast(most)).withColumn("attack_pct", F.coalesce("attack_pct", "most")).drop("most")
+
+
 @query()
 def coverage_select(spark, folder):
-    rows = items(spark, folder, ["benchmark", "video_id", "capability_group", "fine_category", "duration_s", "attack_pct", "question"])
-    rows = rows.select("item_id", "benchmark", trimmed("video_id").alias("video_id"), frames.duration_group(F.col("duration_s")).alias("grp"), F.coalesce("capability_group", F.lit("none")).alias("scene"), F.substring("video_id", 1, 3).alias("cluster"), F.substring(text.question_template("question"), 1, 20).alias("template"), F.coalesce("fine_category", F.lit("none")).alias("task"), "attack_pct")
-    rows = rows.filter("video_id is not null and grp is not null").filter(~missing("attack_pct"))
-    return selection.coverage_select(rows, list(range(7)), 400)
+    return selection.coverage_select(_coverage_rows(spark, folder), list(range(7)), 400)
 
 
 @query()

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import aggregates, dedup, joins, learner, ranks, rules, sampling, selection
+from tessera.plans import queries
 from tessera.storage import Scratch
 
 
@@ -189,3 +190,14 @@ def test_breaking_level_near_chance(spark):
     assert eps["x", "l2"] == (False, 0.01) and eps["x", "l3"] == (True, 0.30) and eps["y", "l1"] == (False, None)
     ref = spark.createDataFrame([("x", 0.6, 0.3, None), ("y", 0.32, 0.3, None), ("z", 0.9, 0.3, None)], "benchmark string, s double, c double, s_long double")
     assert {r.benchmark: r.level for r in aggregates.breaking_level(profile, ref, 0.05).collect()} == {"x": "l3", "y": "l2", "z": "unbroken"}
+
+
+def test_coverage_rows_keep_whole_templates_and_unscored_items(spark, tmp_path):
+    long = "What does the person in the red coat hold near the "
+    rows = [(f"i{i}", i, "B", f"v{i}", "cap", "fine", 20.0, [0.4, None, float("nan"), 0.9][i], f"{long}{w}?") for i, w in enumerate(["door", "boat", "lamp", "rope"])]
+    spark.createDataFrame(rows, "item_id string, row_seq long, benchmark string, video_id string, capability_group string, fine_category string, duration_s double, attack_pct double, question string").write.parquet(str(tmp_path / "items.parquet"))
+    spark.createDataFrame([(i, [float(i == j) for j in range(50)]) for i in range(50)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = {r.item_id: r for r in queries._coverage_rows(spark, str(tmp_path)).collect()}
+    assert {k: r.attack_pct for k, r in out.items()} == {"i0": 0.4, "i1": 0.9, "i2": 0.9, "i3": 0.9}
+    assert len({r.template for r in out.values()}) == 4 and all(r.cluster.startswith("1:") for r in out.values())
+    assert len(queries.coverage_select(spark, str(tmp_path)).collect()) == 4
