@@ -233,6 +233,13 @@ def letter_extract(spark, folder):
     return text.with_letter(rows, "letter", "answer", "options").select("item_id", "row_seq", "letter")
 
 
+@query()
+def letter_extract_all(spark, folder):
+    """Letters of all answers, also those that SQL cannot follow: stated ones, option texts, bare indices."""
+    rows = read(spark, folder, "items").filter("answer is not null")
+    return text.with_letter(rows, "letter", "answer", "options").select("item_id", "row_seq", "letter")
+
+
 @query(r"""select doc_id, upper(x[len(x)]) as letter from (select doc_id, regexp_extract_all(text, '(?i)answer is \(([A-J])\)', 1) as x from documents where text is not null) where len(x) > 0""")
 def stated_answer_last(spark, folder):
     docs = read(spark, folder, "documents").filter("text is not null")
@@ -257,12 +264,24 @@ def normalize_text(spark, folder):
     return rows.select("item_id", text.norm_text("question").alias("norm"))
 
 
+@query()
+def normalize_text_all(spark, folder):
+    """All questions, also those with other letters than ASCII and with apostrophes."""
+    return items(spark, folder, ["question"]).filter("question is not null").select("item_id", text.norm_text("question").alias("norm"))
+
+
 @query(rf"""with {ITEMS} select item_id, regexp_replace(trim(regexp_replace(regexp_replace(lower(question), '\d+([.:,]\d+)*', '<NUM>', 'g'), '\s+', ' ', 'g')), '<NUM>( <NUM>)+', '<NUM>', 'g') as template from items_now where question is not null and not regexp_matches(question, '["“”'']')""")
 def question_template(spark, folder):
     rows = items(spark, folder, ["question"]).filter(F.col("question").isNotNull() & ~F.col("question").rlike("[\"“”']"))
     return rows.select("item_id", text.question_template("question").alias("template"))
 
 
+@query()
+def question_template_all(spark, folder):
+    """All questions, also those with quoted parts."""
+    return items(spark, folder, ["question"]).filter("question is not null").select("item_id", text.question_template("question").alias("template"))
+
+
 @query(r"""select doc_id, round(len(regexp_extract_all(text, '[A-Za-z]')) / nullif(len(regexp_extract_all(text, '\p{L}')), 0), 6) as share, coalesce(round(len(regexp_extract_all(text, '[A-Za-z]')) / nullif(len(regexp_extract_all(text, '\p{L}')), 0), 12) >= 0.9, false) as english from documents""")
 def english_share(spark, folder):
     return read(spark, folder, "documents").select("doc_id", r6(text.english_share("text")).alias("share"), text.is_english("text").alias("english"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import numeric, options, text
+from tessera.plans import queries
 
 OPTIONS = ["a red door", "two blue boats", "the cat", "no one"]
 
@@ -97,3 +98,17 @@ def test_options(spark):
     assert [r.g["index"] for r in got[4:]] == [-1] * 4
     p = df.limit(1).select(options.permuted(F.array(F.lit("x"), F.lit("y"), F.lit("z")), F.array(F.lit(2), F.lit(0), F.lit(1))).alias("p"), options.permuted_gold(F.array(F.lit(2), F.lit(0), F.lit(1)), F.lit(0)).alias("g")).first()
     assert p.p == ["z", "x", "y"] and p.g == "B"
+
+
+def test_whole_table_queries_leave_no_row_out(spark, tmp_path):
+    answers = {"B": "B", "(c)": "C", "The answer is D.": "D", "two blue boats": "B", "2": "C", "**A**": "A", "no idea": None, None: None}
+    questions = ["Où est l’été ?", "It's `x`.", 'Who says "Foo 3" at 10:30?', "Plain 12?", "“Bar” or 'baz'?", None, "你好 7", "ÉTÉ"]
+    rows = [(f"i{i}", i, a, OPTIONS, q) for i, (a, q) in enumerate(zip(answers, questions))] + [("i8", 8, "B", None, "no options")]
+    spark.createDataFrame(rows, "item_id string, row_seq long, answer string, options array<string>, question string").write.parquet(str(tmp_path / "items.parquet"))
+    letters = {r.item_id: r.letter for r in queries.letter_extract_all(spark, str(tmp_path)).collect()}
+    assert letters == {f"i{i}": x for i, x in enumerate(answers.values()) if i != 7} | {"i8": "B"}
+    norms = {r.item_id: r.norm for r in queries.normalize_text_all(spark, str(tmp_path)).collect()}
+    plain = lambda q: re.sub(r"\s+", " ", re.sub(r"[^\w\s.\-]", " ", re.sub("[‘’“”`]", "'", q.strip().lower()))).strip().strip(".").strip()
+    assert norms == {r[0]: plain(r[4]) for r in rows if r[4] is not None}
+    templates = {r.item_id: r.template for r in queries.question_template_all(spark, str(tmp_path)).collect()}
+    assert len(templates) == 8 and templates["i2"] == "who says <ENT> at <NUM>?" and templates["i4"] == "<ENT> or <ENT>?" and templates["i0"] == "où est l’été ?"
