@@ -44,13 +44,17 @@ def audit(items: DataFrame, folder: str, target: int = 300, skill: float = 0.5,
     scratch = Scratch(items.sparkSession)  # every stage reads written tables, as stages of separate runs do
     items = scratch.put(items)
     sample = scratch.put(sampling.stratified_sample(items, "benchmark", "subtask", "item_id", target))
-    drawn = items.join(sample.select(F.col("key").alias("item_id")), "item_id", "left_semi")
-    vectors = catalog.embed(drawn.withColumn("t", options.render_item(F.col("question"), F.col("options"))), "t", f"{folder}/vectors")
-    vectors = vectors.withColumn("sig", F.array_join(options.option_signature(F.col("options")), "|"))
-    pairs = scratch.put(dedup.cosine_pairs(vectors, "item_id", ["video_id", "sig", "answer_idx"], "vec", threshold))
+    guarded = items.withColumn("sig", F.array_join(options.option_signature(F.col("options")), "|"))
+    guarded = scratch.put(guarded.withColumn("guard", F.to_json(F.struct("video_id", "sig", "answer_idx"))))
+    shared = guarded.join(guarded.groupBy("guard").count().filter("count > 1").select("guard"), "guard", "left_semi")  # only these can be duplicates
+    vectors = catalog.embed(shared.withColumn("t", options.render_item(F.col("question"), F.col("options"))), "t", f"{folder}/vectors")
+    vectors = scratch.put(vectors.select("item_id", "video_id", "sig", "answer_idx", "vec"))
+    drawn = vectors.join(sample.select(F.col("key").alias("item_id")), "item_id", "left_semi")
+    pairs = scratch.put(dedup.cosine_pairs(drawn, "item_id", ["video_id", "sig", "answer_idx"], "vec", threshold))
     drops = scratch.put(dedup.keep_smallest(pairs, scratch))
     marks = sample.select(F.col("grp").alias("benchmark"), F.col("key").alias("item_id")).join(drops.select(F.col("id").alias("item_id"), F.lit(True).alias("removed")), "item_id", "left")
-    kept = sampling.refill(items.withColumn("eligible", F.lit(True)), marks, "benchmark", "subtask", "item_id", target).select(F.col("key").alias("item_id"))
+    pool = guarded.join(vectors.select("item_id", "vec"), "item_id", "left").withColumn("eligible", F.lit(True))
+    kept = sampling.refill(pool, marks, "benchmark", "subtask", "item_id", target, guard="guard", vector="vec", threshold=threshold).select(F.col("key").alias("item_id"))
     final = items.join(kept, "item_id", "left_semi").withColumns({"k": F.size("options"), "gold": text.letter_of(F.col("answer_idx")), "chance": 1.0 / F.size("options")})
     final = scratch.put(final)
     asked = final.select("item_id", F.lit(0).alias("perm_id"), "gold", "k", F.lit(64).alias("frames"))

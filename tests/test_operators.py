@@ -201,3 +201,13 @@ def test_coverage_rows_keep_whole_templates_and_unscored_items(spark, tmp_path):
     assert {k: r.attack_pct for k, r in out.items()} == {"i0": 0.4, "i1": 0.9, "i2": 0.9, "i3": 0.9}
     assert len({r.template for r in out.values()}) == 4 and all(r.cluster.startswith("1:") for r in out.values())
     assert len(queries.coverage_select(spark, str(tmp_path)).collect()) == 4
+
+
+def test_refill_compares_candidates_with_kept_and_added_rows(spark):
+    rows = [(f"q{i}", "b", "s", True, "g", [1.0, 0.0] if i % 5 else [0.0, 1.0]) for i in range(20)] + [("q90", "b", "s", True, "other", None)]
+    items = spark.createDataFrame(rows, "q string, b string, s string, eligible boolean, guard string, vec array<double>")
+    marks = spark.createDataFrame([("b", "q1", False), ("b", "q2", True)], "b string, q string, removed boolean")
+    out = {r.key for r in sampling.refill(items, marks, "b", "s", "q", 10, guard="guard", vector="vec").collect()}
+    vectors = [tuple(r[5]) for r in rows if r[0] in out and r[5]]
+    assert "q1" in out and len(vectors) == len(set(vectors))
+    assert "q90" in out or any(r[0] in out and r[5] == [0.0, 1.0] for r in rows)

@@ -57,6 +57,13 @@ def test_audit_runs_twice(spark, onboarded, tmp_path):
     assert {r.item_id for r in again["sample"].collect()} == sample and spark.read.parquet(str(tmp_path / "answers")).count() == answers == 180
 
 
+def test_audit_refills_without_near_duplicates(spark, tmp_path):
+    rows = [(f"x{i:03d}", "Toy", "one", f"v{i % 30}", "What does the person in the red coat hold near the old wooden door?", ["cat", "rope", "lamp"], 1) for i in range(120)]
+    df = spark.createDataFrame(rows, "item_id string, benchmark string, subtask string, video_id string, question string, options array<string>, answer_idx int")
+    sample = pipelines.audit(df, str(tmp_path), target=40, skill=0.9)["sample"].collect()
+    assert 0 < len(sample) == len({r.video_id for r in sample}) <= 30
+
+
 def test_evaluation_and_leaderboard(onboarded, tmp_path):
     items = onboarded.items.withColumn("capability_group", F.col("subtask"))
     good = pipelines.evaluate(items, str(tmp_path), "good", 0.9, ["object", "action"])
