@@ -1,15 +1,18 @@
 """Garbled text from wrong character encoding: find it, name the encoding chain, restore the text.
 
-A multinomial (softmax) classifier on hashed bigrams of UTF-8 bytes tells, for each sentence or line, the chain "bytes of
-encoding A read as encoding B" that garbled it, or *clean*. It is trained here, on a bounded sample of the corpus' own
-sentences (``SAMPLE`` per language label) and copies of them garbled by each chain. The predicted chain is inverted: the
-sentence must encode strictly in B and those bytes decode strictly in A, and the classifier must find the outcome cleaner.
-Where parts of a sentence lost bytes, UTF-8 chains are
-undone in every run of non-ASCII characters that still decodes: strict UTF-8 is proof enough. U+FFFD is the trace of a decoding that lost bytes: such
-text is reported but cannot be restored. A single-byte encoding read as another decodes strictly whatever the text is; there
-the outcome must also consist of words that are no rarer in the whole corpus than those it replaces. Words are counted over
-distinct texts, without the text in question, and looked up by a join with the counts of all words. A sentence that the
-classifier is sure is garbled is reported even where no inversion is accepted.
+A multinomial (softmax) classifier on hashed bigrams of UTF-8 bytes tells, for each sentence, line or part of a long one,
+the chain "bytes of encoding A read as encoding B" that garbled it, or *clean*. It is trained here, on a bounded sample of
+the corpus' own sentences (``SAMPLE`` per language label) and copies of them garbled by each chain, some in capitals and
+some with the bytes dropped that have no character. The predicted chain is inverted: the text must encode strictly in B and
+those bytes decode strictly in A, and the classifier must find the outcome cleaner.
+
+* UTF-8 read as a single-byte encoding leaves runs that decode strictly, which hardly any intended text does; such runs are
+  undone wherever they stand, layer by layer, unless a single one stands in a text that the classifier is sure of.
+* A single-byte encoding read as another decodes strictly whatever the text is; there the outcome must also consist of words
+  that are no rarer in the whole corpus than those it replaces. Words are counted over distinct texts, without the text in
+  question; only the words that some text asks about are counted.
+* U+FFFD and C1 controls are traces of a decoding that lost bytes: such text is reported, and restored where it can be.
+* A text that the classifier is sure is garbled is reported even where no inversion is accepted.
 """
 
 from __future__ import annotations
@@ -21,20 +24,25 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.storage import Scratch
 
 SAMPLE = 300  # clean sentences per language label for training, at most
-LABELS = 40  # language labels, the most frequent ones
-COPIES = 7  # garbled copies per sampled sentence, at most
+LABELS = 40  # language labels, at most
+COPIES = 8  # garbled copies per sampled sentence, at most
 WIDTH = 4096
-EPOCHS = 6
-SURE = 0.001  # a sentence that is less probably clean is reported, restored or not
+EPOCHS = 4
+PIECE = 200  # characters that are judged at once; longer sentences are cut at blanks
+PASS = 0.5  # taken as clean from this probability on, unless strict runs or traces say otherwise
+SURE = 0.002  # a text that is less probably clean is reported, restored or not
+TRIES = 4  # most probable chains that are inverted
 SENTENCE = re.compile(r"((?<=[.!?]) +|(?<=[。！？])|[\n\r]+)")
-_EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "。！？"
-REPLACED = "�"
+_EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+_BLANKS = r"[ \t\n\r]+"
+_WIDE = re.compile("[\u2e80-\U0010ffff]")  # scripts that put no blanks between words
+REPLACED = "\ufffd"
 
 # Which encoding was read as which.
 _READ_AS = {
@@ -120,43 +128,53 @@ def invert(text: str, chain: int) -> str | None:
     return out if out != text else None
 
 
-def _buckets(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte bigrams and their weights: those of ASCII only tell the language and weigh less."""
-    raw = np.frombuffer(f" {text} ".encode("utf-8", "replace"), dtype=np.uint8).astype(np.int64)
-    pair = raw[:-1] * 256 + raw[1:]
-    high = (raw[:-1] > 127) | (raw[1:] > 127)
-    return ((pair * 40503) >> 4) % WIDTH, np.where(high, 1.0, 0.15)
+def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, value) of all texts at once: log counts of the hashed byte bigrams that touch a byte beyond ASCII, of
+    unit length per text."""
+    raw = np.frombuffer("\n".join([f" {t} ".replace("\n", " ") for t in texts]).encode("utf-8", "replace"), dtype=np.uint8).astype(np.int64)
+    row = np.cumsum(raw == 10)
+    at = np.flatnonzero((raw[:-1] > 127) | (raw[1:] > 127))
+    bucket = (((raw[at] * 256 + raw[at + 1]) * 40503) >> 4) % WIDTH
+    key, count = np.unique(row[at] * WIDTH + bucket, return_counts=True)
+    row, value = key // WIDTH, np.log1p(count)
+    norm = np.sqrt(np.bincount(row, value**2, minlength=len(texts)))
+    return row, key % WIDTH, (value / norm[row]).astype(np.float32)
 
 
-def _sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket numbers and values of one text: log counts of unit length."""
-    at, w = _buckets(text)
-    at, where = np.unique(at, return_inverse=True)
-    value = np.log1p(np.bincount(where, weights=w))
-    return at.astype(np.int32), (value / max(1e-6, float(np.linalg.norm(value)))).astype(np.float32)
-
-
-def _dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    out = np.zeros((len(rows), WIDTH), dtype=np.float32)
-    if rows:
-        out[np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows]), np.concatenate([a for a, _ in rows])] = np.concatenate([v for _, v in rows])
-    return out
+def _softmax(score: np.ndarray) -> np.ndarray:
+    score = np.exp(score - score.max(1, keepdims=True))
+    return score / score.sum(1, keepdims=True)
 
 
 @dataclass
 class Detector:
-    """weights (bigram bucket x chain) and intercepts of the classifier."""
+    """weights (bigram bucket x chain) and intercepts of the classifier, and the characters of the sampled clean text."""
 
     weights: np.ndarray
     intercept: np.ndarray
+    alphabet: frozenset = frozenset()
+    blocks: frozenset = frozenset()
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
-        out = []
-        for i in range(0, len(texts), 512):
-            score = _dense([_sparse(t) for t in texts[i : i + 512]]) @ self.weights + self.intercept
-            score = np.exp(score - score.max(1, keepdims=True))
-            out.append(score / score.sum(1, keepdims=True))
-        return np.concatenate(out) if out else np.zeros((0, CLEAN + 1))
+        out = [np.zeros((0, CLEAN + 1))]
+        for i in range(0, len(texts), 1024):
+            part = texts[i : i + 1024]
+            score = np.tile(self.intercept, (len(part), 1))
+            row, bucket, value = _features(part)
+            if len(row):
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                score[row[first]] += np.add.reduceat(self.weights[bucket] * value[:, None], first, axis=0)
+            out.append(_softmax(score))
+        return np.concatenate(out)
+
+    def plausible(self, char: str) -> bool:
+        """A character of the corpus' clean text, or a letter from a stretch of the code table that this text uses."""
+        return char in self.alphabet or (char.isalpha() and _block(char) in self.blocks) or ord(char) > 0xFFFF
+
+
+def _block(char: str) -> int:
+    """A stretch of the code table: 128 characters of an alphabet, 4,096 of other scripts, all ideographs and kana as one."""
+    return -1 if "\u2e80" <= char < "\ua000" else ord(char) >> (12 if char >= "\ua000" else 7)
 
 
 def _traces(text: str) -> bool:
@@ -164,68 +182,129 @@ def _traces(text: str) -> bool:
     return REPLACED in text or re.search("[\x80-\x9f]", text) is not None
 
 
+# UTF-8 read as a single-byte encoding: runs of its characters that are whole UTF-8 sequences.
+
+
+@cache
+def _sequences(codec: str) -> tuple[re.Pattern, re.Pattern]:
+    """(runs of sequences, one sequence) in the characters of a single-byte encoding."""
+    chars = _table(codec)[0]
+    of = lambda lo, hi: "[" + "".join(re.escape(c) for c in chars[lo : hi + 1]) + "]"
+    more = of(0x80, 0xBF)
+    one = f"(?:{of(0xC2, 0xDF)}{more}|{of(0xE0, 0xEF)}{more}{{2}}|{of(0xF0, 0xF4)}{more}{{3}})"
+    return re.compile(f"{one}+"), re.compile(one)
+
+
+UTF8_AS = [b for b in _READ_AS["utf-8"] if _table(b) is not None and b != "cp866"]  # in cp866 plain Russian letters form sequences
+
+
+def undo_utf8(text: str, codec: str, detector: Detector) -> tuple[str, int, int]:
+    """The text with every plausible run of UTF-8 sequences decoded, the number of sequences and of their characters."""
+    done = used = 0
+    again = _table("cp1252")[1]  # characters of a further layer
+
+    def decode(m: re.Match) -> str:
+        nonlocal done, used
+        try:
+            out = _encode(m[0], codec).decode("utf-8")
+        except UnicodeError:
+            return m[0]
+        if not all(detector.plausible(c) or c in again for c in out):
+            return m[0]
+        done, used = done + len(out), used + len(m[0])
+        return out
+
+    return _sequences(codec)[0].sub(decode, text), done, used
+
+
+@cache
+def _any_sequence() -> re.Pattern:
+    return re.compile("|".join(_sequences(b)[1].pattern for b in UTF8_AS))
+
+
 def suspicious(text: str) -> bool:
-    """Never a clean training sentence: traces that clean text does not have."""
-    if _traces(text):
-        return True
-    return any(invert(text, k) is not None for k, c in enumerate(CHAINS) if c[-1][0] == "utf-8" and _table(c[-1][1]) is not None)
+    """Never a clean training sentence: traces or strict sequences that clean text does not have."""
+    return _traces(text) or any(len(m[0]) > 2 or _table("cp1252")[1].get(m[0][0], 0) in (0xC2, 0xC3) for m in _any_sequence().finditer(text))
 
 
 def train(clean: list[str], seed: int = 5) -> Detector:
-    """Softmax regression by Adam over clean sentences and garbled copies; repeatable for the same sentences."""
-    rng = np.random.default_rng(seed)
+    """The classifier of a sample of sentences, repeatable for the same sentences. Sentences that a classifier of the other
+    half of the sample takes for garbled are left out first, so that garbled text in the sample does not pass as clean."""
     clean = [t for t in sorted(set(clean)) if not t.isascii() and not suspicious(t)]
+    halves = [clean[0::2], clean[1::2]]
+    judged = [_fit(halves[1 - i], seed, 2).probabilities(h)[:, CLEAN] for i, h in enumerate(halves)]
+    return _fit([t for h, p in zip(halves, judged) for t, q in zip(h, p) if q >= 0.05], seed, EPOCHS)
+
+
+def _fit(clean: list[str], seed: int, epochs: int) -> Detector:
+    """Softmax regression by Adam over clean sentences and garbled copies."""
+    rng = np.random.default_rng(seed)
     texts, labels = [], []
     for t in clean:
-        made = [(g, k) for k in range(CLEAN) if (g := garble(t, k)) is not None]
-        for i in rng.permutation(len(made))[:COPIES]:
-            texts.append(made[i][0])
-            labels.append(made[i][1])
-        texts += [t] * 3
+        made = [(g, k) for base in (t, t.upper()) for k in range(CLEAN) if (g := garble(base, k)) is not None]
+        half = len(made) // 2
+        chance = np.r_[np.full(half, 3.0), np.full(len(made) - half, 1.0)]  # capitals are the rarer case
+        for i in rng.choice(len(made), min(COPIES, len(made)), replace=False, p=chance / chance.sum()) if made else []:
+            g, k = made[i]
+            if CHAINS[k][0][0] == "utf-8" and rng.random() < 0.35:
+                g = re.sub("[\x80-\xa0\xad]", "", g)  # bytes without a visible character are often lost
+            texts.append(g)
+            labels.append(k)
+        texts += [t, t, t.upper()]
         labels += [CLEAN] * 3
     w, b = np.zeros((WIDTH, CLEAN + 1), dtype=np.float32), np.zeros(CLEAN + 1, dtype=np.float32)
     b[CLEAN] = 2.0
+    letters = Counter(c for t in clean for c in set(t) if ord(c) > 127)
+    alphabet = frozenset(c for c, n in letters.items() if n > 1)
+    detector = Detector(w, b, alphabet, frozenset(_block(c) for c in alphabet if ord(c) > 255))
     if not texts:
-        return Detector(w, b)
-    sparse = [_sparse(t) for t in texts]
-    m, v, step = np.zeros_like(w), np.zeros_like(w), 0
-    y = np.array(labels)
-    for _ in range(EPOCHS):
+        return detector
+    row, bucket, value = _features(texts)
+    start = np.searchsorted(row, np.arange(len(texts) + 1))
+    m, v, step, y = np.zeros_like(w), np.zeros_like(w), 0, np.array(labels)
+    for _ in range(max(epochs, -(-30_000 // len(texts)))):  # 60 steps at least
         order = rng.permutation(len(texts))
         for at in range(0, len(order), 512):
             part = order[at : at + 512]
-            x = _dense([sparse[i] for i in part])
-            p = x @ w + b
-            p = np.exp(p - p.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
+            size = start[part + 1] - start[part]
+            where = np.repeat(start[part] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+            x = np.zeros((len(part), WIDTH), dtype=np.float32)
+            x[np.repeat(np.arange(len(part)), size), bucket[where]] = value[where]
+            p = _softmax(x @ w + b)
             p[np.arange(len(part)), y[part]] -= 1
             g = x.T @ p / len(part)
             step += 1
-            m = 0.9 * m + 0.1 * g
-            v = 0.995 * v + 0.005 * g * g
-            w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.995**step)) + 1e-8)
+            m += 0.1 * (g - m)
+            v += 0.005 * (g * g - v)
+            w -= 0.05 / (1 - 0.9**step) * m / (np.sqrt(v / (1 - 0.995**step)) + 1e-8)
             b -= 0.5 * p.mean(0)
-    return Detector(w, b)
+    return detector
 
 
 def training_sentences(docs: DataFrame, text: str, label: str, per_label: int = SAMPLE, labels: int = LABELS) -> list[str]:
-    """A bounded, repeatable sample: by hash, up to ``per_label`` non-ASCII sentences of each of the commonest labels."""
+    """A bounded, repeatable sample: by hash, up to ``per_label`` non-ASCII sentences of each label (its first two letters),
+    labels in the order of their names where there are more than ``labels``."""
     tag = F.substring(F.lower(F.coalesce(F.trim(label), F.lit("?"))), 1, 2)
     parts = docs.select(tag.alias("tag"), F.explode(F.split(F.col(text), r"(?<=[.!?。！？])\s*|[\n\r]+")).alias("s"))
-    parts = parts.filter(F.col("s").rlike(r"[^\x00-\x7f]") & (F.length("s") <= 400) & (F.length("s") >= 4)).distinct()
-    place = Window.partitionBy("tag").orderBy(F.xxhash64("s"), "s")
-    rows = parts.withColumn("r", F.row_number().over(place)).filter(F.col("r") <= per_label).orderBy("r", "tag").limit(per_label * labels)
-    return [r.s for r in rows.select("s").collect()]
+    parts = parts.filter(F.col("s").rlike(r"[^\x00-\x7f]") & (F.length("s") <= 400) & (F.length("s") >= 4)).withColumn("h", F.xxhash64("s"))
+    place = Window.partitionBy("tag").orderBy("h", "s")
+    rows = parts.withColumn("r", F.dense_rank().over(place)).filter(F.col("r") <= per_label).select("r", "tag", "s").distinct()
+    return [r.s for r in rows.orderBy("r", "tag").limit(per_label * labels).select("s").collect()]
 
 
 def _words(text: str) -> Counter:
-    """The words with non-ASCII characters of a sentence."""
-    return Counter(w for x in text.split(" ") if not (w := x.strip(_EDGES)).isascii())
+    """The words with non-ASCII characters of a text in a script with blanks."""
+    return Counter(w for x in re.split(_BLANKS, text) if not (w := x.strip(_EDGES)).isascii() and not _WIDE.search(w))
 
 
 def words_of(text: str) -> list[str]:
-    """The distinct words with non-ASCII characters of a text, cut as ``restore`` cuts it."""
-    return sorted({w for s in SENTENCE.split(text) for w in _words(s)})
+    return sorted(_words(text))
+
+
+def word_column(text: Column) -> Column:
+    """``words_of`` as an expression."""
+    odd = F.filter(F.split(text, _BLANKS), lambda x: x.rlike(r"[^\x00-\x7f]") & ~x.rlike("[\u2e80-\uffff]") & ~x.rlike(r"[\x{10000}-\x{10ffff}]"))
+    return F.array_distinct(F.transform(odd, lambda x: F.trim(x, F.lit(_EDGES))))
 
 
 def no_rarer(fixed: str, text: str, counts: dict[str, int]) -> bool:
@@ -238,76 +317,107 @@ def no_rarer(fixed: str, text: str, counts: dict[str, int]) -> bool:
     return brought >= sum(n * np.log1p(max(0, counts.get(w, 0) - 1)) for w, n in (old - new).items())
 
 
-def _passes(text: str, p: np.ndarray) -> bool:
-    """Whether a sentence is taken as clean without trying any inversion."""
-    return float(p[CLEAN]) > 0.995 and not _traces(text)
+def _needs_words(chain: int) -> bool:
+    return all(_table(a) is not None for a, _ in CHAINS[chain])
 
 
-def _whole(text: str) -> list[tuple[int, str]]:
-    """(chain, outcome) of every chain that can be undone over the whole sentence."""
+def _by_runs(text: str, chain: int) -> str | None:
+    """Undoes a chain over the whole text, or else in every run of non-ASCII characters that decodes strictly."""
     core = text.rstrip("。！？")  # sentence marks that follow a garbled part
-    return [(k, fixed + text[len(core) :]) for k in range(CLEAN) if (fixed := invert(core, k)) is not None]
-
+    if (whole := invert(core, chain)) is not None:
+        return whole + text[len(core) :]
+    if CHAINS[chain][0][0] != "utf-8":
+        return None
+    out = re.sub(r"[^\x00-\x7f]+", lambda m: invert(m[0], chain) or m[0], text)
+    return out if out != text else None
 
-def _needs_words(chain: int) -> bool:
-    return all(_table(a) is not None for a, _ in CHAINS[chain])
 
+def _wide_share(text: str, detector: Detector) -> float:
+    """Share of plausible characters among those of scripts without blanks."""
+    wide = _WIDE.findall(text)
+    return sum(c in detector.alphabet for c in wide) / len(wide) if wide else 0.0
 
-def restore_sentence(text: str, p: np.ndarray, detector: Detector, counts: dict[str, int]) -> tuple[str | None, int, bool]:
-    """(restored or null, chain, garbled) of one sentence with class probabilities ``p`` and the counts of the words asked for."""
-    clean = float(p[CLEAN])
-    if _passes(text, p):
-        return None, CLEAN, False
-    order = [int(k) for k in np.argsort(-p)[:14] if k != CLEAN]
-    undone = dict(_whole(text))
-    whole = [(k, undone[k]) for k in order[:8] if k in undone and (not _needs_words(k) or no_rarer(undone[k], text, counts))]
-    runs = [(k, fixed) for k in order if CHAINS[k][0][0] == "utf-8" and (fixed := _by_runs(text, k)) is not None]
-    for tries in filter(None, (whole, runs)):
-        after = detector.probabilities([f for _, f in tries])[:, CLEAN]
-        after = np.where([f.isascii() for _, f in tries], 0.5, after)
-        best = int((after + 0.25 * p[[k for k, _ in tries]]).argmax())
-        if CHAINS[tries[best][0]][0][0] == "utf-8" and clean < 0.5 or after[best] > max(0.5, clean + 0.1):
-            return tries[best][1], tries[best][0], True
-    lost = clean < SURE or (clean < 0.005 and CHAINS[order[0]][0][0] == "utf-8")  # bytes without a character were dropped
-    return None, order[0], lost or _traces(text)
 
+def _strict_runs(text: str, p: np.ndarray, detector: Detector) -> tuple[str, list[int], int]:
+    """(text, chains, sequences) with all layers of UTF-8 read as single-byte encodings undone."""
+    chains, total = [], 0
+    while len(chains) < 3 and _any_sequence().search(text):
+        tries = [(*undo_utf8(text, b, detector), b) for b in UTF8_AS]
+        best = max(tries, key=lambda t: (t[2], p[CHAINS.index((("utf-8", t[3]),))]))
+        if not best[1]:
+            break
+        text, total = best[0], total + best[1]
+        chains.append(CHAINS.index((("utf-8", best[3]),)))
+    return text, chains, total
 
-def _by_runs(text: str, chain: int) -> str | None:
-    """Undoes a chain from UTF-8 in every run of non-ASCII characters that decodes strictly."""
-    out = re.sub(r"[^\x00-\x7f]+", lambda m: invert(m[0], chain) or m[0], text)
-    return out if out != text else None
 
+def restore_sentence(text: str, p: np.ndarray, detector: Detector, counts: dict[str, int] | None) -> tuple[str | None, int, bool, set[str]]:
+    """(restored or null, chain, garbled, words asked for) of one text with class probabilities ``p``.
 
-def _sentences(texts: list[str | None]) -> tuple[list[list[str]], list[str]]:
-    """Sentences and the marks between them, per text, and all distinct non-ASCII ones."""
-    split = [SENTENCE.split(t) if t and not t.isascii() else [] for t in texts]
-    return split, sorted({s for parts in split for s in parts if not s.isascii()})
+    With ``counts`` null a restoration that depends on word counts only asks for them.
+    """
+    clean, traces, asked = float(p[CLEAN]), _traces(text), set()
+    fixed, chains, n = _strict_runs(text, p, detector)
+    runs = bool(chains) and (traces or clean < 0.9 or n > 1 and clean < 0.998)
+    of_utf8 = sum(float(p[k]) for k in range(CLEAN) if CHAINS[k][0][0] == "utf-8")
+    if runs and of_utf8 >= 0.3 * (1 - clean):
+        return fixed, chains[0], True, asked
+    if clean >= PASS and not traces and not runs:
+        return None, CLEAN, False, asked
+    order = [int(k) for k in np.argsort(-p)[: TRIES + 1] if k != CLEAN][:TRIES]
+    tries = [(k, out) for k in order if (p[k] > 0.01 or p[k] > clean) and (out := _by_runs(text, k)) is not None]
+    if tries:
+        after = detector.probabilities([out for _, out in tries])[:, CLEAN]
+        for i in sorted(range(len(tries)), key=lambda i: -(after[i] + p[tries[i][0]])):
+            k, out = tries[i]
+            if out.isascii() or after[i] < max(0.5, clean + 0.2):
+                continue
+            source = CHAINS[k][0][0]
+            if _needs_words(k):
+                asked |= {*_words(out), *_words(text)}
+                if counts is None or not no_rarer(out, text, counts):
+                    continue
+            elif source != "utf-8" and (_wide_share(out, detector) < 0.7 or p[k] < clean):
+                continue
+            return out, k, True, asked
+    if runs and not asked:
+        return fixed, chains[0], True, asked
+    lost = clean < SURE or (clean < 0.05 and of_utf8 > 0.9)  # bytes without a character were dropped
+    return None, order[0], lost or traces, asked
+
+
+def pieces(text: str) -> list[str]:
+    """Sentences, lines and the marks between them; long ones are cut at blanks. Joined they give the text."""
+    out = []
+    for s in SENTENCE.split(text):
+        while len(s) > PIECE and not s.isascii():
+            at = s.find(" ", PIECE // 2, PIECE) + 1 or PIECE
+            out.append(s[:at])
+            s = s[at:]
+        out.append(s)
+    return out
 
 
-def asked(texts: list[str | None], detector: Detector) -> list[list[str] | None]:
-    """Per text the words whose counts its restoration needs; null for a text whose sentences are all clean."""
-    split, todo = _sentences(texts)
-    need: dict[str, set[str]] = {}
-    for s, p in zip(todo, detector.probabilities(todo)):
-        if not _passes(s, p):
-            need[s] = {w for k, fixed in _whole(s) if _needs_words(k) for w in (*_words(fixed), *_words(s))}
-    return [sorted(set().union(*(need[s] for s in parts if s in need))) if any(s in need for s in parts) else None for parts in split]
+Found = tuple[bool, str | None, str | None, bool, list[str] | None]
 
 
-def restore(texts: list[str | None], detector: Detector, counts: list[dict[str, int]]) -> list[tuple[bool, str | None, str | None, bool]]:
-    """(garbled, chains, restored text, complete) of each text with the counts of its words; complete: nothing garbled is left."""
-    split, todo = _sentences(texts)
+def restore(texts: list[str | None], detector: Detector, counts: list[dict[str, int] | None]) -> list[Found]:
+    """(garbled, chains, restored text, complete, words asked for) of each text with the counts of its words, if they are
+    known; complete: nothing garbled is left."""
+    split = [pieces(t) if t and not t.isascii() else [] for t in texts]
+    todo = sorted({s for parts in split for s in parts if not s.isascii()})
     likely = dict(zip(todo, detector.probabilities(todo)))
-    out = []
+    out: list[Found] = []
     for t, parts, words in zip(texts, split, counts):
         known = {s: restore_sentence(s, likely[s], detector, words) for s in set(parts) if s in likely}
+        asked = sorted(set().union(*(k[3] for k in known.values()))) if words is None else []
         hits = [known[s] for s in parts if s in known and known[s][2]]
         if not hits:
-            out.append((False, None, None, True))
+            out.append((False, None, None, True, asked or None))
             continue
         fixed = "".join(known[s][0] if s in known and known[s][2] and known[s][0] is not None else s for s in parts)
-        chains = ", ".join(sorted({chain_name(k) for _, k, _ in hits}))
-        out.append((True, chains, fixed if fixed != t else None, all(f is not None for f, _, _ in hits)))
+        chains = ", ".join(sorted({chain_name(k) for _, k, _, _ in hits}))
+        out.append((True, chains, fixed if fixed != t else None, all(f is not None and not _traces(f) for f, _, _, _ in hits), asked or None))
     return out
 
 
@@ -315,35 +425,40 @@ def find_garbled(docs: DataFrame, key: str, text: str, label: str) -> DataFrame:
     """(key, chains, restored, complete): one row per document with garbled characters.
 
     ``restored`` is the text with every restorable sentence restored, null where none is; ``complete`` tells whether all
-    garbled sentences were restored. Null, empty and pure ASCII texts are never garbled. Other columns are ignored. Equal
-    texts are judged once.
+    garbled sentences were restored. Null, empty and pure ASCII texts are never garbled; rows without a key are left out.
+    Other columns are ignored. Repeated rows come out as often as they stand in the input.
+
+    One pass over the texts decides all but the few that depend on word counts; copies cost map work only. The words those
+    few ask about are then counted over all distinct texts (by hash, narrow rows), and only those few are judged again.
     """
     scratch = Scratch(docs.sparkSession)
     detector = train(training_sentences(docs, text, label))
+    kind = docs.schema[key].dataType.simpleString()
     narrow = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).filter(F.col(text).rlike(r"[^\x00-\x7f]") & F.col(key).isNotNull())
-    texts = scratch.put(narrow.select("__text").distinct())
+    schema = f"__key {kind}, garbled boolean, chains string, restored string, complete boolean"
 
-    def ask(batches):
-        for pdf in batches:
-            need = asked(pdf["__text"].tolist(), detector)
-            keep = [i for i, n in enumerate(need) if n is not None]
-            yield pd.DataFrame({"__text": pdf["__text"].iloc[keep].to_numpy(), "words": [need[i] for i in keep]})
+    def rows(pdf, found, keep, **more):
+        picked = [found[i] for i in keep]
+        columns = {n: [f[i] for f in picked] for i, n in enumerate(("garbled", "chains", "restored", "complete"))}
+        return pd.DataFrame({"__key": pdf["__key"].iloc[keep].to_numpy(), **{n: pd.Series(c, dtype=object) for n, c in (columns | more).items()}})
 
-    def cut(batches):
+    def judge(batches):
         for pdf in batches:
-            yield pd.DataFrame({"w": [w for t in pdf["__text"] for w in words_of(t)]}, dtype=object)
+            found = restore(pdf["__text"].tolist(), detector, [None] * len(pdf))
+            keep = [i for i, f in enumerate(found) if f[0] or f[4]]
+            yield rows(pdf, found, keep, __text=[pdf["__text"].iloc[i] if found[i][4] else None for i in keep], words=[found[i][4] for i in keep])
 
-    def find(batches):
+    def judge_again(batches):
         for pdf in batches:
             found = restore(pdf["__text"].tolist(), detector, [dict(c) if c is not None else {} for c in pdf["counts"]])
-            keep = [i for i, f in enumerate(found) if f[0]]
-            rows = [found[i] for i in keep]
-            yield pd.DataFrame({"id": pdf["id"].iloc[keep].to_numpy(), "chains": [r[1] for r in rows], "restored": [r[2] for r in rows], "complete": [r[3] for r in rows]})
+            yield rows(pdf, found, [i for i, f in enumerate(found) if f[0]])
 
-    doubtful = scratch.put(texts.mapInPandas(ask, "__text string, words array<string>").withColumn("id", F.sha2("__text", 256)))
-    wanted = scratch.put(doubtful.select("id", F.explode("words").alias("w")))
-    counts = texts.mapInPandas(cut, "w string").groupBy("w").agg(F.count("*").alias("n"))
+    first = scratch.put(narrow.mapInPandas(judge, f"{schema}, __text string, words array<string>"))
+    doubtful = first.filter("words is not null").withColumn("id", F.xxhash64("__text"))
+    wanted = scratch.put(doubtful.select("id", F.explode("words").alias("w")).distinct())
+    uses = narrow.select(F.explode(word_column(F.col("__text"))).alias("w"), F.xxhash64("__text").alias("of"))
+    counts = uses.join(wanted.select("w").distinct(), "w", "left_semi").distinct().groupBy("w").agg(F.count("*").alias("n"))
     held = wanted.join(counts, "w").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("counts"))
-    found = scratch.put(doubtful.select("id", "__text").join(held, "id", "left").mapInPandas(find, "id string, chains string, restored string, complete boolean"))
-    named = narrow.select("__key", F.sha2("__text", 256).alias("id")).join(found, "id")
-    return named.select(F.col("__key").alias(key), "chains", "restored", "complete")
+    again = doubtful.select("__key", "__text", "id").join(held, "id", "left").mapInPandas(judge_again, schema)
+    found = scratch.put(again).union(first.filter("words is null").select(*again.columns))
+    return found.select(F.col("__key").alias(key), "chains", "restored", "complete")

@@ -75,5 +75,25 @@ def test_a_sure_sentence_is_reported_without_a_restoration(corpus):
     chain = m.CHAINS.index((("cp1251", "latin-1"),))
     p = np.zeros(m.CLEAN + 1)
     p[chain], p[m.CLEAN] = 0.9995, 0.0005
-    assert m.restore_sentence(bad, p, detector, {w: 1000 for w in m.words_of(bad)}) == (None, chain, True)
+    assert m.restore_sentence(bad, p, detector, {w: 1000 for w in m.words_of(bad)})[:3] == (None, chain, True)
+    assert m.restore_sentence(bad, p, detector, None)[3] >= set(m.words_of(CLEAN["ru"][3]))
     assert m.no_rarer("été", "ÈtÈ", {"été": 1, "ÈtÈ": 2}) and not m.no_rarer("été", "ÈtÈ", {"été": 1, "ÈtÈ": 3})
+
+
+def test_words_are_cut_alike_in_python_and_in_spark(spark):
+    texts = ["Où est (l’échelle), «là» ?\nétait\tvu", "画面が 暗 été", "", "plain", "naïve—déjà 🎬x", " \u00a0é. "]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", m.word_column(m.F.col("t")).alias("w")).collect()
+    assert {r.i: sorted(r.w) for r in got} == {i: m.words_of(t) for i, t in enumerate(texts)}
+
+
+def test_strict_runs_layers_capitals_and_long_lines(corpus):
+    detector = m.train(corpus)
+    utf8 = m.CHAINS.index((("utf-8", "cp1252"),))
+    once = m.garble("Où est l’échelle déjà", utf8)
+    line = "plain words and more of them " * 40 + once + " été à côté" + " and so on" * 200
+    (found,) = m.restore([line], detector, [None])
+    assert found[0] and found[2] == line.replace(once, "Où est l’échelle déjà") and found[3]
+    twice = m.garble(m.garble("Où est l’échelle déjà", utf8), utf8)
+    assert m.restore([twice], detector, [None])[0][2] == "Où est l’échelle déjà"
+    assert m.restore(["Девочка открывает чайник, ребёнок молчит."], detector, [None])[0][0] is False
+    assert "".join(m.pieces(line)) == line and max(map(len, m.pieces("é" * 1000))) <= m.PIECE
