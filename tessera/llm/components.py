@@ -5,8 +5,10 @@ in it. Pruning: a vertex that nobody selected leaves the graph and hangs below t
 heard of stays connected through that smallest one. The pruned vertices form a forest whose roots are the smallest members
 of their components; in the end each root's identifier (the seed) flows down the forest, one layer per round.
 
-Both steps are aggregates with map-side combine plus joins on a vertex, so a hub that takes part in a third of all pairs is
-split by adaptive skew handling and never gathered in one task. Rounds grow with the logarithm of the chain length. Each
+Both steps are aggregates with map-side combine plus joins of two written tables on a vertex. Only shuffles of scans stand
+below those joins, so adaptive skew handling can split a hub that takes part in a third of all pairs (over an aggregate it
+could not, as that must stay whole). Rounds grow with the logarithm of the chain length; the layers of the forest shrink from
+round to round, so the later layers that a layer is joined with on the way down are together no larger than it by much. Each
 round is written to the shared folder: no lineage builds up, and a lost executor repeats one stage only.
 """
 
@@ -34,10 +36,10 @@ def connected_groups(links: DataFrame, a: str = "a", b: str = "b", scratch: Scra
             break
         heard = _select(graph, scratch)
         lowest = scratch.put(heard.groupBy("u").agg(F.min("w").alias("m"), F.max(F.col("w") == F.col("u")).alias("chosen")))
-        layers.append(scratch.put(lowest.filter(~F.col("chosen")).select(F.col("u").alias("id"), F.col("m").alias("parent"))))
+        layers.append(lowest.filter(~F.col("chosen")).select(F.col("u").alias("id"), F.col("m").alias("parent")))
         onward = heard.join(lowest.select("u", "m"), "u").filter(F.col("w") != F.col("m"))
         following = scratch.put(_both_ways(onward.select(F.col("m").alias("u"), F.col("w").alias("v"))))
-        scratch.drop(graph, heard, lowest)
+        scratch.drop(graph, heard)
         graph = following
     else:
         raise RuntimeError(f"links are not consolidated after {max_rounds} rounds")
@@ -45,14 +47,17 @@ def connected_groups(links: DataFrame, a: str = "a", b: str = "b", scratch: Scra
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    once = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return once.union(once.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
 def _select(graph: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, w): vertex u heard of w as the smallest vertex of some neighbourhood it belongs to."""
-    smallest = graph.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("w"))
+    smallest = scratch.put(graph.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("w")))
     told = graph.join(smallest, "u").select(F.col("v").alias("u"), "w")
-    return scratch.put(told.union(smallest).distinct())
+    heard = scratch.put(told.union(smallest).distinct())
+    scratch.drop(smallest)
+    return heard
 
 
 def _flow_down(layers: list[DataFrame], empty: DataFrame, scratch: Scratch) -> DataFrame:
