@@ -59,25 +59,24 @@ def judge_votes(spark: SparkSession, folder: str) -> DataFrame:
     return votes.groupBy("qid", "model", "judge").agg(last)
 
 
-def _consensus(spark: SparkSession, folder: str) -> tuple[DataFrame, consensus.VoteModel]:
+def _consensus(spark: SparkSession, folder: str) -> tuple[consensus.Votes, consensus.VoteModel]:
     scratch = Scratch(spark)
-    gathered, judges, categories = consensus.gather_votes(judge_votes(spark, folder), ["qid", "model"], "judge", "category", scratch)
-    return gathered, consensus.fit(gathered, judges, categories)
+    votes = consensus.gather_votes(judge_votes(spark, folder), ["qid", "model"], "judge", "category", scratch)
+    return votes, consensus.fit(votes, scratch)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    gathered, model = _consensus(spark, folder)
-    return consensus.decide(gathered.filter(F.size("who") >= MIN_JUDGES), ["qid", "model"], model).select("qid", "model", "category")
+    votes, model = _consensus(spark, folder)
+    return consensus.decide(votes, ["qid", "model"], model, MIN_JUDGES).select("qid", "model", "category")
 
 
 def p2_consensus(spark: SparkSession, folder: str) -> DataFrame:
-    gathered, model = _consensus(spark, folder)
-    return consensus.decide(gathered, ["qid", "model"], model)
+    votes, model = _consensus(spark, folder)
+    return consensus.decide(votes, ["qid", "model"], model)
 
 
 def p2_judges(spark: SparkSession, folder: str) -> DataFrame:
-    _, model = _consensus(spark, folder)
-    return consensus.reliability(spark, model)
+    return consensus.reliability(*_consensus(spark, folder))
 
 
 # 3: a varied subset

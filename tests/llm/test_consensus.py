@@ -1,8 +1,6 @@
 import random
 from collections import Counter
 
-import pytest
-
 from tessera.llm import consensus
 from tessera.storage import Scratch
 
@@ -28,10 +26,11 @@ def simulated(seed=1, n=1500):
     return truth, rows
 
 
-def run(spark, rows):
+def run(spark, rows, **more):
     df = spark.createDataFrame(rows, "item string, who string, cat string")
-    gathered, annotators, cats = consensus.gather_votes(df, ["item"], "who", "cat", Scratch(spark))
-    return gathered, consensus.fit(gathered, annotators, cats)
+    scratch = Scratch(spark)
+    votes = consensus.gather_votes(df, ["item"], "who", "cat", scratch)
+    return votes, consensus.fit(votes, scratch, **more)
 
 
 def test_beats_the_plain_majority(spark):
@@ -44,7 +43,7 @@ def test_beats_the_plain_majority(spark):
     plain = sum(Counter(sorted(votes[q])).most_common(1)[0][0] == t for q, t in truth.items()) / len(truth)
     ours = sum(out[q].category == t for q, t in truth.items()) / len(truth)
     assert len(out) == len(truth) and ours > 0.93 and ours > plain + 0.05
-    rel = {r.annotator: r for r in consensus.reliability(spark, model).collect()}
+    rel = {r.annotator: r for r in consensus.reliability(gathered, model).collect()}
     assert min(rel[f"good{i}"].accuracy for i in (1, 2, 3)) > 0.85 > rel["weak"].accuracy > rel["swaps"].accuracy
     assert rel["biased"].favoured == "c1" and rel["biased"].favoured_share > 0.8
     assert all(0 < r.agreement <= 1 or r.agreement == 0 for r in out.values()) and all(0.2 < r.confidence <= 1 for r in out.values())
@@ -60,11 +59,25 @@ def test_result_does_not_depend_on_row_order(spark):
 
 def test_edges(spark):
     gathered, model = run(spark, [])
-    assert consensus.decide(gathered, ["item"], model).collect() == [] and consensus.reliability(spark, model).collect() == []
+    assert consensus.decide(gathered, ["item"], model).collect() == [] and consensus.reliability(gathered, model).collect() == []
     gathered, model = run(spark, [("q", "one", "c1"), ("q2", None, "c1"), ("q3", "one", None), (None, "one", "c2")])
     assert [r.category for r in consensus.decide(gathered, ["item"], model).collect()] == ["c1"]
-    with pytest.raises(ValueError):
-        consensus.gather_votes(spark.createDataFrame([("q", "a", "x"), ("q", "b", "y")], "item string, who string, cat string"), ["item"], "who", "cat", Scratch(spark), max_cells=3)
+
+
+def test_joined_tables_give_the_same_result(spark):
+    _, rows = simulated(3, 300)
+    pick = lambda g, m: {r["item"]: (r.category, r.n_votes, round(r.agreement, 9), round(r.confidence, 9)) for r in consensus.decide(g, ["item"], m).collect()}
+    assert pick(*run(spark, rows)) == pick(*run(spark, rows, cells=0))
+
+
+def test_more_annotators_than_anchors(spark):
+    rng = random.Random(4)
+    truth = {f"q{i}": rng.choice(CATS) for i in range(400)}
+    rows = [(q, f"w{j:03d}", t if rng.random() < 0.5 + 0.4 * (j % 2) else rng.choice(CATS)) for q, t in truth.items() for j in rng.sample(range(120), 6)]
+    votes, model = run(spark, rows, anchors=8)
+    out = {r["item"]: r.category for r in consensus.decide(votes, ["item"], model).collect()}
+    assert sum(out[q] == t for q, t in truth.items()) / len(truth) > 0.9
+    assert votes.n_annotators == 120 == consensus.reliability(votes, model).count()
 
 
 def test_votes_of_the_test_table(spark, tmp_path):
