@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,6 +109,8 @@ def seeded_places(kind: str, n: int, k: int, item: str, seed: int = 42) -> list[
     """Places of the conditions that need a generator: ``shuffle`` (one order for all items) and ``window`` (a start per item)."""
     if n <= 0:
         return []
+    if kind == "single":
+        return [round((n - 1) / 2)]
     if kind == "window":
         start = random.Random(f"{seed}|{item}").uniform(0.0, 0.9) * (n - 1)
         places = [round(start + i * 0.1 * (n - 1) / max(k - 1, 1)) for i in range(k)]
@@ -120,6 +122,50 @@ def seeded_places(kind: str, n: int, k: int, item: str, seed: int = 42) -> list[
     return places
 
 
+def spread_times(first: Column, last: Column, k: int) -> Column:
+    """``k`` times from first to last, both included; the middle for one."""
+    if k <= 1:
+        return F.array((first + last) / 2.0)
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: first + j * (last - first) / (k - 1))
+
+
+def attacker_frames(kind: str, times: Column, k: int) -> Column:
+    """Places that an attacker sees: the stored frames nearest in time to a grid over the video, repeats dropped.
+
+    ``single``: the 17th of a grid of 32; ``uniform``: a grid of ``k``, all frames where there are fewer; ``window``: a grid
+    over the first tenth; ``shuffle``: the grid, whose order ``shuffled`` gives. No stored frames give an empty array; null times
+    are not looked at.
+    """
+    first, last = F.element_at(times, 1), F.element_at(times, -1)
+    on = lambda targets: F.array_distinct(F.filter(F.transform(targets, lambda t: nearest(times, t)), lambda i: i.isNotNull()))
+    if kind == "single":
+        places = F.array(nearest(times, F.element_at(spread_times(first, last, 32), 17)))
+    elif kind == "window":
+        places = on(spread_times(first, first + (last - first) / 10.0, k))
+    elif kind in ("uniform", "shuffle"):
+        places = on(spread_times(first, last, k))
+        if kind == "uniform":
+            places = F.when(F.size(times) < k, F.sequence(F.lit(0), F.size(times) - 1)).otherwise(places)
+    else:
+        raise ValueError(kind)
+    return F.when(F.size(times) > 0, places).otherwise(F.array().cast("array<int>"))
+
+
+def shuffled(rows: DataFrame, places: str, item: str, seed: int = 42) -> DataFrame:
+    """``rows`` with the places in an order seeded by the item."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for p, key in zip(pdf[places], pdf[item]):
+                order = [int(i) for i in p]
+                random.Random(f"{seed}|{key}").shuffle(order)
+                out.append(order)
+            yield pdf.assign(**{places: pd.Series(out, index=pdf.index, dtype=object)})
+
+    return rows.mapInPandas(run, rows.schema)
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def seeded_frames(kind: pd.Series, n: pd.Series, k: pd.Series, item: pd.Series) -> pd.Series:
     return pd.Series([seeded_places(a, int(b), int(c), d) for a, b, c, d in zip(kind, n, k, item)])

@@ -11,6 +11,7 @@ STATED = r"(?i)(?:answer|option|choice)\s*(?:is|would\s+be)?\s*[:\-]?\s*[(\[]?([
 STATED_ZH = r"答案\s*(?:是|为)?\s*[:：]?\s*[(\[]?([A-Ja-j])(?![A-Za-z])"
 NUMBER_STATED = r"(?i)\b(?:is|are|answer|answered|total|count)\b[^0-9\n]{0,20}?(\d+(?:\.\d+)?)"
 NUMBER_ALONE = r"(?U)(?<![\w.])(\d+(?:\.\d+)?)(?!\w)"
+SOUND = r"(?i)\b(hear|heard|hears|sound|sounds|audio|listen|voice|voices|spoken|speech|says?|said|music|song|noise|narrat\w+|dialogue|conversation)\b"
 LONG_TEXT_WORDS = 10
 IOU_MIN = 0.5
 SAME_NUMBER = 1e-6
@@ -58,6 +59,17 @@ def _said_letter(s: Column, wide: Column | None = None) -> Column:
     return F.coalesce(said, last(STATED_ZH))
 
 
+def stated_letter(c: Column | str) -> Column:
+    """The last letter that a text states as its answer, option or choice; null without one."""
+    found = F.regexp_extract_all(_col(c), F.lit(STATED % LETTERS), F.lit(1))
+    return F.upper(F.try_element_at(found, F.lit(-1)))
+
+
+def mentions_sound(c: Column | str) -> Column:
+    """Whether a text speaks of sound; false for null."""
+    return F.coalesce(_col(c).rlike(SOUND), F.lit(False))
+
+
 def _option_place(s: Column, norm: Column, texts: Column) -> Column:
     """Place of the option whose text the reply is, else of the only one it contains, else its bare index; ``texts`` holds
     struct(i, whole, bare, flat) per option."""

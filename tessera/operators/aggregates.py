@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numeric import declared_chance, declared_counts, width_threshold
 from tessera.functions.text import index_of
+from tessera.storage import Scratch
 
 
 def rate(flag: Column) -> Column:
@@ -75,21 +76,62 @@ def position_entropy(rows: DataFrame, by: list[str], letter: str, k: str) -> Dat
     return kept.groupBy(*by, k).agg((-F.sum(F.col("p") * F.log("p")) / F.nullif(F.log(F.greatest(F.col(k), F.lit(1)).cast("double")), F.lit(0.0))).alias("entropy"))
 
 
-def attacker_margins(reference: DataFrame, attackers: DataFrame, chance: DataFrame, least: int = 30) -> DataFrame:
+# The level of each kind of attacker, the levels in order, and the kinds that the order level needs both of.
+LEVEL_OF = {"fixed_position": "option", "options_only": "option", "blind": "text", "pool": "pool", "single_frame": "frame", "captions": "frame", "shuffle": "order", "window": "order"}
+LEVELS = ["option", "text", "pool", "frame", "order"]
+BOTH = {"order": ("shuffle", "window")}
+
+
+def kind_of(attacker: Column) -> Column:
+    """Attackers are named ``kind`` or ``kind:model``."""
+    return F.split(attacker, ":", 2)[0]
+
+
+def level_of(attacker: Column) -> Column:
+    """The level of an attacker by its kind; null for an unknown kind."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in LEVEL_OF.items() for x in pair]), kind_of(attacker))
+
+
+def attacker_margins(reference: DataFrame, attackers: DataFrame, least: int = 30) -> DataFrame:
     """(benchmark, attacker, level, acc, margin, n): accuracy minus chance over the items that reference and attacker share.
 
-    ``reference`` (benchmark, item, correct), ``attackers`` (benchmark, attacker, level, item, correct), ``chance``
-    (benchmark, item, chance). Attackers with fewer than ``least`` common items are left out.
+    ``reference`` (benchmark, item, correct, chance), ``attackers`` (benchmark, attacker, level, item, correct); unscored
+    rows of either count for nothing. Attackers with fewer than ``least`` common items are left out.
     """
-    known = reference.filter("correct is not null").select("benchmark", "item").join(chance, ["benchmark", "item"])
+    known = reference.filter("correct is not null").select("benchmark", "item", "chance")
     both = attackers.filter("correct is not null").join(known, ["benchmark", "item"])
     out = both.groupBy("benchmark", "attacker", "level").agg(rate(F.col("correct")).alias("acc"), F.avg("chance").alias("c"), F.count("*").alias("n"))
     return out.filter(F.col("n") >= least).select("benchmark", "attacker", "level", "acc", (F.col("acc") - F.col("c")).alias("margin"), "n")
 
 
-def level_profile(margins: DataFrame, levels: DataFrame) -> DataFrame:
-    """(benchmark, level, ord, measured, eps): best margin per level and its running maximum, carried over unmeasured levels."""
-    per = margins.groupBy("benchmark", "level").agg(F.max("margin").alias("best"))
+def pool_margins(metrics: DataFrame, chance: DataFrame) -> DataFrame:
+    """The rows of ``attacker_margins`` for learned attackers, named ``pool:<name>``.
+
+    ``metrics`` (benchmark, attacker, eps_last20, chance_export, n20, n_items) may hold texts; rows that are no numbers are
+    left out. ``chance`` (benchmark, c). Accuracy is eps_last20 plus the exported chance.
+    """
+    number = lambda c: F.col(c).cast("string").try_cast("double")
+    rows = metrics.select("benchmark", F.concat(F.lit("pool:"), "attacker").alias("attacker"), number("eps_last20").alias("e"), number("chance_export").alias("x"), F.coalesce(F.nullif(number("n20"), F.lit(0.0)), number("n_items")).cast("long").alias("n"))
+    rows = rows.filter(F.col("e").isNotNull() & F.col("x").isNotNull() & F.col("n").isNotNull()).join(chance.select("benchmark", "c"), "benchmark")
+    acc = F.col("e") + F.col("x")
+    return rows.select("benchmark", "attacker", F.lit("pool").alias("level"), acc.alias("acc"), (acc - F.col("c")).alias("margin"), "n")
+
+
+def _ends(kind: str):
+    return lambda k: k.endswith(kind)
+
+
+def level_profile(margins: DataFrame, levels: DataFrame, both: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(benchmark, level, ord, measured, eps): best margin per level and its running maximum, carried over unmeasured levels.
+
+    A level of ``both`` is measured only where attackers of all the kinds named for it are there.
+    """
+    per = margins.groupBy("benchmark", "level").agg(F.max("margin").alias("best"), F.collect_set(kind_of(F.col("attacker"))).alias("__kinds"))  # kinds: a handful
+    for level, kinds in (both or {}).items():
+        there = F.lit(True)
+        for kind in kinds:
+            there &= F.exists("__kinds", _ends(kind))
+        per = per.withColumn("best", F.when((F.col("level") != level) | there, F.col("best")))
     cells = margins.select("benchmark").distinct().join(F.broadcast(levels.select("level", "ord")))  # levels: a handful of rows
     upto = Window.partitionBy("benchmark").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     return cells.join(per, ["benchmark", "level"], "left").select("benchmark", "level", "ord", F.col("best").isNotNull().alias("measured"), F.max("best").over(upto).alias("eps"))
@@ -189,17 +231,30 @@ def chi_square(rows: DataFrame, side: str, label: str) -> DataFrame:
     return full.agg(F.sum((F.col("o") - e) ** 2 / e).alias("chi2"), ((F.count_distinct(side) - 1) * (F.count_distinct(label) - 1)).alias("dof"), F.first("n").alias("n"))
 
 
-def percentile_rank(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Average-tie percentile rank over all rows; nulls and NaN take the column's maximum first; null for an all-null column.
+def percentile_rank(df: DataFrame, columns: dict[str, str], scratch: Scratch | None = None, partitions: int | None = None) -> DataFrame:
+    """``df`` with the average-tie percentile rank of each column (``columns``: column -> name of its rank) over all rows.
 
-    The cumulative window runs over distinct values, not over rows.
+    Nulls and NaN take the column's maximum first; null for an all-null column. All columns go through one pass: rows are
+    counted per (column, value), the counts are split by range, and the rows before a value are the prefix sum of the earlier
+    ranges plus the running sum inside its own. No window sees more than one range.
     """
-    value = F.when(F.isnan(column), F.lit(None)).otherwise(F.col(column).cast("double"))
-    marked = df.withColumn("__v", value)
-    counts = marked.groupBy("__v").agg(F.count("*").alias("c"))
-    top = counts.agg(F.max("__v").alias("m"), F.sum("c").alias("all"))
-    filled = counts.join(F.broadcast(top)).groupBy(F.coalesce("__v", "m").alias("f"), "all").agg(F.sum("c").alias("c"))
-    upto = Window.orderBy("f").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = filled.filter("f is not null").select("f", "all", "c", (F.sum("c").over(upto) - (F.col("c") - 1) / 2).alias("r"))
-    ranks = ranks.select("f", (F.col("r") / F.col("all")).alias(out))
-    return marked.join(F.broadcast(top.select("m"))).join(ranks, F.coalesce("__v", "m") == F.col("f"), "left").select(*df.columns, out)
+    scratch = scratch or Scratch(df.sparkSession)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    value = {c: F.when(F.isnan(c), F.lit(None)).otherwise(F.col(c).cast("double")) for c in columns}
+    pairs = F.array(*[F.struct(F.lit(i).alias("c"), v.alias("v")) for i, v in enumerate(value.values())])
+    counts = scratch.put(df.select(F.explode(pairs).alias("x")).groupBy("x.c", "x.v").agg(F.count("*").alias("n")))
+    tops = {r.c: r for r in counts.groupBy("c").agg(F.max("v").alias("m"), F.sum("n").alias("all")).collect()}
+    top = F.element_at(F.create_map(*[x for i, r in tops.items() for x in (F.lit(i), F.lit(r.m).cast("double"))]), F.col("c")) if tops else F.lit(None).cast("double")
+    filled = counts.withColumn("v", F.coalesce("v", top)).groupBy("c", "v").agg(F.sum("n").alias("n")).filter("v is not null")
+    ranged = scratch.put(filled.repartitionByRange(n, "c", "v").withColumn("p", F.spark_partition_id()))
+    sizes = ranged.groupBy("c", "p").agg(F.sum("n").alias("s"))
+    earlier = F.sum("s").over(Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select("c", "p", F.coalesce(earlier, F.lit(0)).alias("before"))
+    upto = F.sum("n").over(Window.partitionBy("p", "c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = scratch.put(ranged.withColumn("upto", upto).join(before, ["c", "p"]).select("c", "v", (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias("r")))
+    out = df
+    for i, (c, name) in enumerate(columns.items()):
+        most = F.lit(tops[i].m).cast("double") if i in tops else F.lit(None).cast("double")
+        of_c = ranks.filter(F.col("c") == i).select(F.col("v").alias("__v"), (F.col("r") / F.lit(tops[i]["all"] if i in tops else 1)).alias(name))
+        out = out.join(of_c, F.coalesce(value[c], most) == F.col("__v"), "left").drop("__v")
+    return out.select(*df.columns, *columns.values())

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import Scratch
+
 
 def remaining(todo: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key is not finished yet: a left anti join on distinct keys; null keys are never finished."""
@@ -64,19 +66,32 @@ def interval_join(rows: DataFrame, value: str, edges: DataFrame, lo: str, hi: st
     return rows.join(edges, inside, "left")
 
 
-def nearest_join(left: DataFrame, right: DataFrame, by: list[str], at: str, other: str, step: float, out: str) -> DataFrame:
-    """For each row of ``left`` the nearest time of ``right`` with the same ``by``, the earlier one on a tie, within ``step``.
+def nearest_join(left: DataFrame, right: DataFrame, by: list[str], at: str, other: str, out: str, scratch: Scratch | None = None, partitions: int | None = None) -> DataFrame:
+    """For each row of ``left`` the nearest time of ``right`` with the same ``by``, the earlier one on a tie, however far.
 
-    Times are hashed into buckets of ``step``; a row looks into its own and the two neighbouring buckets, so the join is an
-    equi-join whose size does not depend on how many rows a ``by`` value has. ``left`` rows are told apart by all columns.
+    Both sides' rows go together into partitions by range of (by, time), so a ``by`` value that holds a third of all rows is
+    split. Inside a partition the last time before and the first after each row are carried along; a partition's own first and
+    last time per ``by`` value, a small table, are carried over its borders. Null times and keys find nothing; the columns
+    of ``left`` come back as they are.
     """
-    bucket = lambda c: F.floor(F.col(c) / step)
-    probe = left.withColumn("__k", F.monotonically_increasing_id()).withColumn("__b", F.explode(F.array(bucket(at) - 1, bucket(at), bucket(at) + 1)))
-    index = right.select(*by, F.col(other).alias("__t"), bucket(other).alias("__b"))
-    joined = probe.join(index, [*by, "__b"], "left")
-    near = F.min(F.when(F.abs(F.col("__t") - F.col(at)) <= step, F.struct(F.abs(F.col("__t") - F.col(at)).alias("d"), F.col("__t").alias("t")))).alias("__n")
-    found = joined.groupBy("__k", *[F.col(c) for c in left.columns]).agg(near)
-    return found.select(*left.columns, F.col("__n.t").alias(out))
+    scratch = scratch or Scratch(left.sparkSession)
+    n = partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [f"__by_{i}" for i in range(len(by))]
+    named = lambda df, t: [*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(t).alias("__t")]
+    rows = left.select(*named(left, at), F.lit(None).cast(right.schema[other].dataType).alias("__o"), F.struct(*left.columns).alias("__row"))
+    times = right.select(*named(right, other)).filter("__t is not null").distinct().select("*", F.col("__t").alias("__o"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"))
+    ranged = rows.unionByName(times).repartitionByRange(n, *keys, "__t").withColumn("__p", F.spark_partition_id())
+    stored = scratch.put(ranged)
+    ends = stored.filter("__o is not null").groupBy(*keys, "__p").agg(F.min("__o").alias("__first"), F.max("__o").alias("__last"))
+    cells = stored.select(*keys, "__p").distinct().join(ends, [*keys, "__p"], "left")  # null keys stay without times
+    over = Window.partitionBy(*keys).orderBy("__p")
+    edges = cells.select(*keys, "__p", F.last("__last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("__from"), F.first("__first", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("__to"))
+    inside = Window.partitionBy("__p", *keys).orderBy("__t")
+    near = stored.withColumns({"__before": F.last("__o", True).over(inside.rangeBetween(Window.unboundedPreceding, 0)), "__after": F.first("__o", True).over(inside.rangeBetween(0, Window.unboundedFollowing))})
+    near = near.filter("__row is not null").join(edges, [*keys, "__p"], "left")
+    lo, hi = F.coalesce("__before", "__from"), F.coalesce("__after", "__to")
+    best = F.when(F.col("__t").isNull(), F.lit(None)).when(hi.isNull() | (F.col("__t") - lo <= hi - F.col("__t")), lo).otherwise(hi)
+    return near.select("__row.*", best.alias(out))
 
 
 def parity(sides: dict[str, DataFrame], key: list[str], value: str) -> DataFrame:

@@ -35,7 +35,7 @@ def two_weightings(labels: DataFrame, by: list[str], item: str, flag: Column) ->
 def full_cells(rows: DataFrame, row: str, column: str, rows_of: DataFrame, columns_of: DataFrame) -> DataFrame:
     """(row, column, n, share): counts with zero cells for every pair of the two small name tables, shares per row name."""
     counts = rows.filter(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(F.count("*").alias("n"))
-    cells = rows_of.select(row).distinct().join(F.broadcast(columns_of.select(column).distinct()))  # names only
+    cells = rows_of.select(row).distinct().crossJoin(columns_of.select(column).distinct())  # as many rows as the table has cells
     out = cells.join(counts, [row, column], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.withColumn("share", ratio(F.col("n"), F.sum("n").over(Window.partitionBy(row))))
 

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.names import missing
-from tessera.functions.text import is_english, reply_letter, same_wrong, with_score
-from tessera.operators.aggregates import rate
+from tessera.functions.text import is_english, letter_of, mentions_sound, reply_letter, same_wrong, with_score
+from tessera.operators.aggregates import position_entropy, position_shares, rate
 from tessera.operators.joins import overlay
+from tessera.operators.selection import ranked_in
 
-# Words that mention sound, thresholds of the format check, order of statuses on a tie.
-SOUND = r"(?i)\b(hear|heard|hears|sound|sounds|audio|listen|voice|voices|spoken|speech|says?|said|music|song|noise|narrat\w+|dialogue|conversation)\b"
+# Thresholds of the format check.
 MIN_ITEMS, ENGLISH_LEAST, SOUND_MOST = 50, 0.9, 0.1
 LN2 = 0.6931471805599453
 
@@ -49,11 +49,17 @@ def classify(rows: DataFrame, taxonomy: DataFrame, unstable: DataFrame, evidence
 
     First of: flipped under a shifted frame grid (unstable); judges disagree (disputed); fine category ``other``; a final
     recheck that names a category; missing evidence (unverified); the taxonomy's group of the category; agreement on a
-    capability group only; everything else is disputed.
+    capability group only; agreement on the protocol group where the categories of ``judge_cats`` (array<string>, optional)
+    all belong to one subgroup; everything else is disputed.
     """
     groups = taxonomy.select(F.col("category").alias("category"), F.col("capability_group").alias("__g"))
     final = F.regexp_extract(F.coalesce("dense_state", F.lit("")), "^final:(.*)$", 1)
     joined = rows.join(unstable.select("qid", "model", F.lit(True).alias("__u")), ["qid", "model"], "left").join(groups, "category", "left")
+    names = taxonomy.agg(F.map_from_entries(F.collect_list(F.struct("category", "capability_group"))).alias("__names"))  # one row
+    cats = F.col("judge_cats") if "judge_cats" in rows.columns else F.lit(None).cast("array<string>")
+    joined = joined.join(F.broadcast(names)).withColumn("__cats", F.array_sort(cats)).withColumn("__subs", F.transform("__cats", lambda c: F.try_element_at("__names", c)))
+    said = F.array_join("__cats", "|")
+    agreed = F.coalesce((F.size("__subs") >= 2) & (F.size(F.array_distinct("__subs")) == 1) & F.col("__subs")[0].isNotNull(), F.lit(False))
     joined = joined.withColumn("__f", F.when(final != "", final)).join(groups.select(F.col("category").alias("__f"), F.col("__g").alias("__fg")), "__f", "left")
     top = lambda g: F.when(g == protocol, F.lit("protocol")).otherwise(F.lit("capability"))
     out = lambda s, g, sub, basis: F.struct(F.lit(s).alias("status"), g.alias("final_group"), sub.alias("subgroup"), basis.alias("basis"))
@@ -67,6 +73,8 @@ def classify(rows: DataFrame, taxonomy: DataFrame, unstable: DataFrame, evidence
         .when(F.col("category") == evidence, out("unverified", none, none, text("dense:", F.col("dense_state"))))
         .when(F.col("__g").isNotNull(), out("ok", top(F.col("__g")), F.col("__g"), text("fine:", F.col("category"))))
         .when(F.col("judge_group").isNotNull() & (F.col("judge_group") != protocol), out("ok", F.lit("capability"), F.col("judge_group"), text("group:", F.col("judge_group"))))
+        .when((F.col("judge_group") == protocol) & agreed, out("ok", F.lit("protocol"), F.col("__subs")[0], text("group_both:", said)))
+        .when(F.col("judge_group") == protocol, out("disputed", none, none, text("group_split:", said)))
         .otherwise(out("disputed", none, none, text("unmapped:", F.col("judge_group"))))
     )
     return joined.withColumn("__r", rule).select(*rows.columns, "__r.*")
@@ -147,7 +155,7 @@ def format_report(items: DataFrame, by: list[str], requires_audio: bool = False,
         n.alias("n_items"), m.alias("n_mcq"), F.count_if(F.col("form") == "open").alias("n_open"), F.count_if(F.col("form") == "yes_no").alias("n_yes_no"),
         F.avg(F.when(mcq, 1.0 / F.size("options"))).alias("chance"), F.count_distinct(F.when(mcq, F.col("video_id"))).alias("n_videos"),
         F.count_distinct(F.when(mcq, F.col("subtask"))).alias("n_subtasks"), rate(F.when(mcq, english)).alias("english_share"),
-        rate(F.when(mcq, F.coalesce(F.col("question").rlike(SOUND), F.lit(False)))).alias("sound_share"), F.count_if(no_gold).alias("n_without_gold"),
+        rate(F.when(mcq, mentions_sound("question"))).alias("sound_share"), F.count_if(no_gold).alias("n_without_gold"),
     )
     rules = {
         "gold_available": F.col("n_without_gold") < 0.5 * F.col("n_items"),
@@ -163,6 +171,32 @@ def format_report(items: DataFrame, by: list[str], requires_audio: bool = False,
     return rows.withColumn("eligible", eligible)
 
 
+def format_detail(items: DataFrame, by: list[str], most: int = 12) -> DataFrame:
+    """(by, k_counts, positions, modal_position, modal_share, entropy, subtasks): what the format report tells of the
+    multiple-choice items: numbers of options, gold letters, the commonest letter and its share, the entropy of the letters
+    over that of a uniform choice among the commonest number of options, and the ``most`` commonest subtasks (ties by name).
+
+    ``items`` (form, options, answer_idx, subtask). Lists are text ``name:count`` joined by ``;`` in name order, subtasks by
+    count.
+    """
+    rows = items.filter("form = 'mcq'").select(*by, F.size("options").alias("k"), F.when(F.col("answer_idx").between(0, 25), letter_of(F.col("answer_idx"))).alias("letter"), F.coalesce("subtask", F.lit("_none")).alias("subtask"))
+
+    def listed(column: str, name: str, ranked: bool = False) -> DataFrame:
+        counts = rows.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"))
+        order = (-F.col("n") if ranked else F.lit(0)).alias("o")
+        if ranked:
+            counts = ranked_in(counts, by, [F.desc("n"), F.asc(column)], most)
+        pairs = F.array_sort(F.collect_list(F.struct(order, F.col(column).alias("v"), "n")))
+        return counts.groupBy(*by).agg(F.array_join(F.transform(pairs, lambda x: F.concat_ws(":", x["v"].cast("string"), x["n"].cast("string"))), ";").alias(name))
+
+    shares = position_shares(rows, by, "letter").filter("modal").select(*by, F.col("letter").alias("modal_position"), F.col("share").alias("modal_share"))
+    entropy = position_entropy(rows, by, "letter", "k").select(*by, "entropy")
+    out = listed("k", "k_counts")
+    for part in (listed("letter", "positions"), shares, entropy, listed("subtask", "subtasks", True)):
+        out = out.join(part, by, "left")
+    return out
+
+
 def evaluation_table(rows: DataFrame, groups: list[str], n_total: int | None = None, video: str = "video", blind: str = "blind") -> DataFrame:
     """One row per model: accuracy in percent with video and blind, gain on common items, per group, and reply counts.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import options, text
 from tessera.operators import aggregates, dedup, joins, reports, rules, sampling
+from tessera.plans import conditions, levels
 from tessera.plans.stages import call_model
 from tessera.sources import catalog, readers, sinks
 from tessera.storage import Scratch
@@ -54,41 +55,54 @@ def audit(items: DataFrame, folder: str, target: int = 300, skill: float = 0.5,
     drops = scratch.put(dedup.keep_smallest(pairs, scratch))
     marks = sample.select(F.col("grp").alias("benchmark"), F.col("key").alias("item_id")).join(drops.select(F.col("id").alias("item_id"), F.lit(True).alias("removed")), "item_id", "left")
     pool = guarded.join(vectors.select("item_id", "vec"), "item_id", "left").withColumn("eligible", F.lit(True))
-    kept = sampling.refill(pool, marks, "benchmark", "subtask", "item_id", target, guard="guard", vector="vec", threshold=threshold).select(F.col("key").alias("item_id"))
-    final = items.join(kept, "item_id", "left_semi").withColumns({"k": F.size("options"), "gold": text.letter_of(F.col("answer_idx")), "chance": 1.0 / F.size("options")})
+    refilled = scratch.put(sampling.refill(pool, marks, "benchmark", "subtask", "item_id", target, guard="guard", vector="vec", threshold=threshold))
+    final = items.join(refilled.select(F.col("key").alias("item_id")), "item_id", "left_semi").withColumns({"k": F.size("options"), "gold": text.letter_of(F.col("answer_idx")), "chance": 1.0 / F.size("options")})
     final = scratch.put(final)
-    asked = final.select("item_id", F.lit(0).alias("perm_id"), "gold", "k", F.lit(64).alias("frames"))
-    conditions = {"reference": (skill, None), "blind": (0.1, "text"), "single": (0.2, "frame")}
-    scored, attackers = {}, None
-    for name, (s, level) in conditions.items():
-        replies = call_model(asked, f"{folder}/answers", name, skill=s).filter(F.col("model") == name)
-        judged = text.with_score(replies.join(final, "item_id"), "correct", "pred", "gold", "options").select("benchmark", F.col("item_id").alias("item"), "correct")
-        scored[name] = judged = scratch.put(judged)
-        if level:
-            part = judged.withColumns({"attacker": F.lit(name), "level": F.lit(level)})
-            attackers = part if attackers is None else attackers.union(part)
-    chance = final.select("benchmark", F.col("item_id").alias("item"), "chance")
-    margins = aggregates.attacker_margins(scored["reference"], attackers.select("benchmark", "attacker", "level", "item", "correct"), chance)
-    levels = items.sparkSession.createDataFrame([("text", 1), ("frame", 2)], "level string, ord int")
-    ref = scored["reference"].join(chance, ["benchmark", "item"]).groupBy("benchmark").agg(aggregates.rate(F.col("correct")).alias("s"), F.avg("chance").alias("c"), F.lit(None).cast("double").alias("s_long"))
-    breaking = aggregates.breaking_level(aggregates.level_profile(margins, levels), ref, 0.05)
-    card = ref.drop("s_long").join(breaking.select("benchmark", "level"), "benchmark")
-    return {"sample": final, "duplicates": drops, "margins": margins, "levels": breaking, "cards": sinks.markdown_cards(card, "benchmark")}
-
-
-def evaluate(items: DataFrame, folder: str, model: str, skill: float = 0.5, groups: list[str] | None = None) -> DataFrame:
+    log = f"{folder}/answers"
+    runs = {"reference": ("reference", "reference", skill), "blind": ("blind", "text_attacker", 0.1), "single_frame": ("single_frame", "attacker", 0.2)}
+    scored = {}
+    for name, (condition, role, s) in runs.items():
+        scored[name] = scratch.put(conditions.run_condition(final, log, condition, role, name, skill=s))
+    attackers = None
+    for name in ("blind", "single_frame"):
+        part = scored[name].select("benchmark", F.lit(f"{name}:stub").alias("attacker"), F.lit(aggregates.LEVEL_OF[name]).alias("level"), F.col("item_id").alias("item"), "correct")
+        attackers = part if attackers is None else attackers.unionByName(part)
+    reference = scored["reference"].select("benchmark", F.col("item_id").alias("item"), "correct").join(final.select("benchmark", F.col("item_id").alias("item"), "chance"), ["benchmark", "item"])
+    out = levels.audit_rows(reference, attackers, scratch=scratch)
+    card = out["levels"].select("benchmark", "s_star", "c", "break_level")
+    return {"sample": final, "duplicates": drops, "refill": refilled, "margins": out["attackers"], "levels": out["levels"], "cards": sinks.markdown_cards(card, "benchmark")}
+
+
+def evaluate(items: DataFrame, folder: str, model: str, skill: float = 0.5, groups: list[str] | None = None, kind: str = "stub", max_minutes: float | None = None, **more) -> DataFrame:
     """Video run (one order) and blind run (four orders) of one model, scored and summed up per model."""
     scratch = Scratch(items.sparkSession)
     base = scratch.put(items.withColumns({"k": F.size("options"), "gold": text.letter_of(F.col("answer_idx"))}))
-    video = base.select("item_id", F.lit(-1).alias("perm_id"), "gold", "k", F.lit(64).alias("frames"))
-    fanned = sampling.fan_out(base.select("item_id", "k", "options", "answer_idx"), "item_id", "k")
-    blind = fanned.select("item_id", "perm_id", options.permuted_gold(F.col("perm"), F.col("answer_idx")).alias("gold"), "k", F.lit(0).alias("frames"))
-    asked = scratch.put(video.union(blind))
-    log = call_model(asked, f"{folder}/answers", model, skill=skill).filter(F.col("model") == model)
-    rows = log.join(asked.select("item_id", "perm_id", "gold", "frames"), ["item_id", "perm_id"]).join(base.select("item_id", "options", "capability_group"), "item_id")
-    rows = scratch.put(text.with_score(rows, "correct", "pred", "gold", F.col("options")))
-    rows = rows.filter("correct is not null").withColumn("protocol", F.when(F.col("perm_id") < 0, "video").otherwise("blind"))
-    return rules.evaluation_table(rows, groups or [], base.count())
+    asked = scratch.put(evaluation_calls(base))
+    extra = {"skill": skill} if kind == "stub" else {}
+    log = call_model(asked, f"{folder}/answers", model, kind, "evaluation", max_minutes=max_minutes, **extra, **more).filter((F.col("model") == model) & (F.col("condition") == "evaluation"))
+    rows = scratch.put(evaluation_scores(asked, log))
+    return rules.evaluation_table(rows.filter("correct is not null"), groups or [], base.count())
+
+
+def evaluation_calls(base: DataFrame) -> DataFrame:
+    """One call per item with the video (perm_id -1, own order) and one per option order without it.
+
+    ``shown`` are the options as they are shown, ``gold`` the letter under which the gold stands there.
+    """
+    common = ["capability_group", "question", "k"]
+    video = base.select("item_id", F.lit(-1).alias("perm_id"), *common, F.col("options").alias("shown"), "gold", F.lit(64).alias("frames"))
+    fanned = sampling.fan_out(base.select("item_id", *common, "options", "answer_idx"), "item_id", "k")
+    blind = fanned.select("item_id", "perm_id", *common, options.permuted(F.col("options"), F.col("perm")).alias("shown"), options.permuted_gold(F.col("perm"), F.col("answer_idx")).alias("gold"), F.lit(0).alias("frames"))
+    calls = video.unionByName(blind)
+    return calls.withColumn("prompt", F.when(F.col("perm_id") < 0, conditions.visual_prompt(F.col("frames"), F.col("question"), F.col("shown"))).otherwise(conditions.blind_prompt(F.col("question"), F.col("shown"))))
+
+
+def evaluation_scores(asked: DataFrame, log: DataFrame) -> DataFrame:
+    """Replies scored against the options in the order in which they were shown; a call without a reply is unscored."""
+    rows = log.select("model", "item_id", "perm_id", "pred", F.col("frames").alias("sent"), "fallback").join(asked, ["item_id", "perm_id"])
+    rows = text.with_score(rows, "correct", "pred", "gold", F.col("shown"))
+    protocol = F.when(F.col("perm_id") < 0, "video").otherwise("blind")
+    return rows.select("model", protocol.alias("protocol"), "item_id", "perm_id", "capability_group", "pred", F.col("sent").alias("frames"), "fallback", F.when(F.col("pred").isNotNull(), F.col("correct")).alias("correct"))
 
 
 def leaderboard(tables: list[DataFrame]) -> DataFrame:

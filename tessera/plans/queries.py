@@ -143,12 +143,12 @@ def json_field_extract(spark, folder):
     return read(spark, folder, "events").select("event_id", text.json_field("props", "k").alias("k"))
 
 
-@query("""select c.event_id, c.user_id, (select arg_min(v.ts, (abs(epoch_us(v.ts) - epoch_us(c.ts)), epoch_us(v.ts))) from events v where v.event_type = 'view' and v.user_id = c.user_id and abs(epoch_us(v.ts) - epoch_us(c.ts)) <= 21600000000) as nearest_view
+@query("""select c.event_id, c.user_id, (select arg_min(v.ts, (abs(epoch_us(v.ts) - epoch_us(c.ts)), epoch_us(v.ts))) from events v where v.event_type = 'view' and v.user_id = c.user_id) as nearest_view
 from events c where c.event_type = 'click'""")
 def nearest_asof(spark, folder):
     log = read(spark, folder, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
     pick = lambda t: log.filter(F.col("event_type") == t).select("event_id", "user_id", "t")
-    out = joins.nearest_join(pick("click"), pick("view").select("user_id", "t"), ["user_id"], "t", "t", 21600000000.0, "near")
+    out = joins.nearest_join(pick("click"), pick("view").select("user_id", "t"), ["user_id"], "t", "t", "near")
     return out.select("event_id", "user_id", F.timestamp_micros("near").cast("timestamp_ntz").alias("nearest_view"))
 
 
@@ -199,13 +199,19 @@ def inferred_k_p95(spark, folder):
     return aggregates.inferred_k(_lettered(spark, folder), ["benchmark"])
 
 
-@query(rf"""with {ITEMS}, o as (select item_id, answer_idx, options, list_transform(options, lambda x: lower(trim(x))) as t from items_now where options is not null)
-select item_id, (len(list_distinct(t)) < len(t)) as repeated, (coalesce(trim(options[answer_idx + 1]), '') = '' or answer_idx is null or answer_idx < 0) as empty_gold from o""")
+_NORM = r"""regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace({0}, '^[\s\x{{85}}\p{{Z}}]+|[\s\x{{85}}\p{{Z}}]+$', '', 'g')), '[‘’“”`]', chr(39), 'g'), '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}\x{{200c}}\x{{200d}}\s\x{{85}}\p{{Z}}.\-]', ' ', 'g'), '[\s\x{{85}}\p{{Z}}]+', ' ', 'g')), '^\.+|\.+$', '', 'g')"""
+_PREFIX = r"^\s*[(\[]?([A-Pa-p])[)\].,:]\s*"
+_BARE = rf"""bare as (select *, case when len(options) > 0 and len(list_filter(options, lambda o, i: coalesce(upper(regexp_extract(o, '{_PREFIX}', 1)) = chr(64 + i::int), false))) = len(options) then list_transform(options, lambda o: trim(regexp_replace(o, '{_PREFIX}', ''))) else options end as b from items_now where options is not null)"""
+_META = r"(?i)^(?:all|none|both|neither)\b.*\b(?:above|options|these|choices)\b|^(?:cannot|can''t|can not) be determined|^not enough information"
+
+
+@query(rf"""with {ITEMS}, {_BARE}, n as (select *, list_transform(b, lambda o: trim({_NORM.format("o")})) as t from bare)
+select item_id, array_to_string(list_filter([case when coalesce(list_bool_or(list_transform(b, lambda o: regexp_matches(trim(o), '{_META}'))), false) then 'meta_option' end, case when len(list_distinct(t)) + (len(list_filter(t, lambda x: x is null)) > 0)::int < len(t) then 'repeated_option' end,
+  case when answer_idx is null or answer_idx < 0 or coalesce(trim(b[answer_idx + 1]), '') = '' then 'empty_gold' end], lambda x: x is not null), ',') as flags from n""")
 def option_format_screen(spark, folder):
     rows = items(spark, folder, ["options", "answer_idx"]).filter("options is not null")
-    plain = F.transform("options", lambda o: F.lower(F.trim(o)))
-    gold = F.coalesce(F.trim(F.try_element_at("options", F.when(F.col("answer_idx") >= 0, F.col("answer_idx") + 1))), F.lit(""))
-    return rows.select("item_id", (F.size(F.array_distinct(plain)) < F.size(plain)).alias("repeated"), (gold == "").alias("empty_gold"))
+    place = F.when(F.col("answer_idx") >= 0, F.col("answer_idx"))
+    return rows.select("item_id", F.array_join(options.option_flags(F.col("options"), place), ",").alias("flags"))
 
 
 @query()
@@ -226,25 +232,16 @@ def option_count_repairs(spark, folder):
     return aggregates.option_count_repairs(rows, "options", F.col("num_options")).select("item_id", F.size("options").cast("long").alias("n_options"))
 
 
-@query(r"""select item_id, row_seq, case when regexp_matches(trim(answer), '^[(\[]?[A-Ja-j][)\].,:]') then upper(regexp_extract(trim(answer), '^[(\[]?([A-Ja-j])', 1)) when length(trim(answer)) = 1 and regexp_matches(trim(answer), '[A-Ja-j]') then upper(trim(answer)) end as letter
-from items where answer is not null and options is not null and regexp_matches(trim(answer), '^[(\[]?[A-Ja-j][)\].,:]?$')""")
-def letter_extract(spark, folder):
-    rows = read(spark, folder, "items").filter("answer is not null and options is not null").filter(F.trim("answer").rlike(r"^[(\[]?[A-Ja-j][)\].,:]?$"))
-    return text.with_letter(rows, "letter", "answer", "options").select("item_id", "row_seq", "letter")
-
-
 @query()
-def letter_extract_all(spark, folder):
-    """Letters of all answers, also those that SQL cannot follow: stated ones, option texts, bare indices."""
+def letter_extract(spark, folder):
+    """Letters of all answers: leading and stated ones, option texts, bare indices."""
     rows = read(spark, folder, "items").filter("answer is not null")
     return text.with_letter(rows, "letter", "answer", "options").select("item_id", "row_seq", "letter")
 
 
-@query(r"""select doc_id, upper(x[len(x)]) as letter from (select doc_id, regexp_extract_all(text, '(?i)answer is \(([A-J])\)', 1) as x from documents where text is not null) where len(x) > 0""")
+@query(r"""select doc_id, upper(x[len(x)]) as letter from (select doc_id, regexp_extract_all(text, '(?i)(?:answer|option|choice)\s*(?:is|would\s+be)?\s*[:\-]?\s*[(\[]?([A-J])[)\].,:]?(?:\s|$)', 1) as x from documents) where len(x) > 0""")
 def stated_answer_last(spark, folder):
-    docs = read(spark, folder, "documents").filter("text is not null")
-    found = F.regexp_extract_all("text", F.lit(r"(?i)answer is \(([A-J])\)"), F.lit(1))
-    return docs.filter(F.size(found) > 0).select("doc_id", F.upper(F.element_at(found, -1)).alias("letter"))
+    return read(spark, folder, "documents").select("doc_id", text.stated_letter("text").alias("letter")).filter("letter is not null")
 
 
 @query()
@@ -258,27 +255,16 @@ def score_gold_replies(spark, folder):
     return text.with_score(rows, "correct", "reply", "answer", "options").select("item_id", "kind", "correct")
 
 
-@query(rf"""with {ITEMS} select item_id, trim(regexp_replace(regexp_replace(lower(trim(question)), '[^a-z0-9_\s.\-]', ' ', 'g'), '\s+', ' ', 'g'), ' .') as norm from items_now where question is not null and regexp_full_match(question, '[\x00-\x7f]*') and not regexp_matches(question, '[`'']')""")
+@query(f"with {ITEMS} select item_id, trim({_NORM.format('question')}) as norm from items_now where question is not null")
 def normalize_text(spark, folder):
-    rows = items(spark, folder, ["question"]).filter(F.col("question").rlike(r"^[\x00-\x7f]*$") & ~F.col("question").rlike("[`']"))
-    return rows.select("item_id", text.norm_text("question").alias("norm"))
-
-
-@query()
-def normalize_text_all(spark, folder):
-    """All questions, also those with other letters than ASCII and with apostrophes."""
     return items(spark, folder, ["question"]).filter("question is not null").select("item_id", text.norm_text("question").alias("norm"))
 
 
-@query(rf"""with {ITEMS} select item_id, regexp_replace(trim(regexp_replace(regexp_replace(lower(question), '\d+([.:,]\d+)*', '<NUM>', 'g'), '\s+', ' ', 'g')), '<NUM>( <NUM>)+', '<NUM>', 'g') as template from items_now where question is not null and not regexp_matches(question, '["“”'']')""")
-def question_template(spark, folder):
-    rows = items(spark, folder, ["question"]).filter(F.col("question").isNotNull() & ~F.col("question").rlike("[\"“”']"))
-    return rows.select("item_id", text.question_template("question").alias("template"))
+_TEMPLATE = r"""regexp_replace(regexp_replace(trim(regexp_replace(replace(replace(lower(regexp_replace(regexp_replace({0}, '"[^"]*"|“[^”]*”|''[^'']*''(\W|$)', '<ENT>\1', 'g'), '\d+(?:[.:,]\d+)*', '<NUM>', 'g')), '<ent>', '<ENT>'), '<num>', '<NUM>'), '\s+', ' ', 'g')), '<NUM>(?:\s<NUM>)+', '<NUM>', 'g'), '<ENT>(?:\s<ENT>)+', '<ENT>', 'g')"""
 
 
-@query()
-def question_template_all(spark, folder):
-    """All questions, also those with quoted parts."""
+@query(f"with {ITEMS} select item_id, {_TEMPLATE.format('question')} as template from items_now where question is not null")
+def question_template(spark, folder):
     return items(spark, folder, ["question"]).filter("question is not null").select("item_id", text.question_template("question").alias("template"))
 
 
@@ -301,12 +287,10 @@ LEVELS = [("text", 1), ("frame", 2), ("order", 3), ("long", 4)]
 
 def _attack(spark, folder):
     o = read(spark, folder, "orders").select("o_orderkey", (F.col("o_custkey") % 12).alias("benchmark"), (F.col("o_orderkey") % 3 != 0).alias("ref_ok"), (1.0 / (2 + F.col("o_orderkey") % 4)).alias("chance"))
-    lines = read(spark, folder, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey").join(o, "o_orderkey")
-    names = F.concat(F.lit("a"), F.col("l_linenumber").cast("string"))
+    lines = read(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").agg((F.max("l_partkey") % 5 < 2).alias("correct")).join(o.select("o_orderkey", "benchmark"), "o_orderkey")
     level = F.element_at(F.array(*[F.lit(n) for n, _ in LEVELS]), (F.col("l_linenumber") % 4 + 1).cast("int"))
-    attackers = lines.groupBy("benchmark", names.alias("attacker"), level.alias("level"), F.col("o_orderkey").alias("item")).agg((F.max("l_partkey") % 5 < 2).alias("correct"))
-    reference = o.select("benchmark", F.col("o_orderkey").alias("item"), F.col("ref_ok").alias("correct"))
-    return reference, attackers, o.select("benchmark", F.col("o_orderkey").alias("item"), "chance")
+    attackers = lines.select("benchmark", F.concat(F.lit("a"), F.col("l_linenumber").cast("string")).alias("attacker"), level.alias("level"), F.col("o_orderkey").alias("item"), "correct")
+    return o.select("benchmark", F.col("o_orderkey").alias("item"), F.col("ref_ok").alias("correct"), "chance"), attackers
 
 
 _ATTACK = """o as (select o_orderkey as item, o_custkey % 12 as benchmark, o_orderkey % 3 <> 0 as ref_ok, 1.0::double / (2 + o_orderkey % 4) as chance from orders),
@@ -327,10 +311,10 @@ def attacker_profile_running_max(spark, folder):
 u as (select *, case when rescreened then s + 0.02 else s end as s_used from h)
 select benchmark, near, rescreened, round(s_used, 6) as s_used, coalesce(arg_min(level, ord) filter (where case when near and not rescreened then measured else eps >= s_used - c - 0.3 end), 'unbroken') as level from u group by 1, 2, 3, 4""")
 def breaking_level(spark, folder):
-    reference, attackers, chance = _attack(spark, folder)
+    reference, attackers = _attack(spark, folder)
     levels = spark.createDataFrame(LEVELS, "level string, ord int")
-    profile = aggregates.level_profile(aggregates.attacker_margins(reference, attackers, chance), levels)
-    s = reference.join(chance, ["benchmark", "item"]).groupBy("benchmark").agg(aggregates.rate(F.col("correct")).alias("s"), F.avg("chance").alias("c"))
+    profile = aggregates.level_profile(aggregates.attacker_margins(reference, attackers), levels)
+    s = reference.groupBy("benchmark").agg(aggregates.rate(F.col("correct")).alias("s"), F.avg("chance").alias("c"))
     return aggregates.breaking_level(profile, s.withColumn("s_long", F.col("s") + 0.02), 0.3).withColumn("s_used", r6("s_used"))
 
 
@@ -355,22 +339,24 @@ r as (select item_id, (rank() over (order by a) + (count(*) over (partition by a
 select item_id, round(ra, 6) as rank_attack, round(rb, 6) as rank_chance, round(greatest(ra, rb), 6) as worst from r""")
 def percentile_rank_worst_case(spark, folder):
     rows = items(spark, folder, ["attack_pct", "chance"]).withColumn("attack_pct", F.when(~missing("attack_pct") & F.col("attack_pct").between(0, 1), F.col("attack_pct")))
-    both = aggregates.percentile_rank(aggregates.percentile_rank(rows, "attack_pct", "ra"), "chance", "rb")
+    both = aggregates.percentile_rank(rows, {"attack_pct": "ra", "chance": "rb"})
     return both.select("item_id", r6("ra").alias("rank_attack"), r6("rb").alias("rank_chance"), r6(F.greatest("ra", "rb")).alias("worst"))
 
 
-_SOUND_ITEMS = f"{ITEMS}, sound as (select item_id, {_ID.format('video_id')} as video_id, capability_group as capability, attack_pct from items_now where {SCORE_OK} and {_ID.format('video_id')} is not null)"
+_SOUND_ITEMS = f"{ITEMS}, sound as (select item_id, {_ID.format('video_id')} as video_id, coalesce({_ID.format('video_id')}, 'item:' || item_id) as v, capability_group as capability, case when {SCORE_OK} then attack_pct end as attack_pct from items_now)"
 
 
 def _sound_items(spark, folder):
-    rows = items(spark, folder, ["video_id", "capability_group", "attack_pct"]).filter(~missing("attack_pct") & F.col("attack_pct").between(0, 1))
-    return rows.select("item_id", trimmed("video_id").alias("video_id"), F.col("capability_group").alias("capability"), "attack_pct").filter("video_id is not null")
+    """All items; an impossible score is none, an item without a video stands for a video of its own."""
+    rows = items(spark, folder, ["video_id", "capability_group", "attack_pct"])
+    return rows.select("item_id", trimmed("video_id").alias("video_id"), F.col("capability_group").alias("capability"), F.when(~missing("attack_pct") & F.col("attack_pct").between(0, 1), F.col("attack_pct")).alias("attack_pct"))
 
 
-@query(f"with {_SOUND_ITEMS} select video_id, item_id, attack_pct from (select *, row_number() over (partition by video_id order by attack_pct, item_id) as r from sound) where r = 1 order by attack_pct, item_id limit 200")
+@query(f"with {_SOUND_ITEMS} select video_id, item_id, attack_pct from (select *, row_number() over (partition by v order by attack_pct nulls last, item_id) as r from sound) where r = 1 order by attack_pct nulls last, item_id limit 200")
 def hardest_one_per_group_topn(spark, folder):
-    out = selection.hardest_per(_sound_items(spark, folder), ["video_id"], ["attack_pct", "item_id"])
-    return out.orderBy("attack_pct", "item_id").limit(200).select("video_id", "item_id", "attack_pct")
+    rows = _sound_items(spark, folder).withColumn("v", F.coalesce("video_id", F.concat(F.lit("item:"), "item_id")))
+    out = selection.hardest_per(rows, ["v"], ["attack_pct", "item_id"])
+    return out.orderBy(F.col("attack_pct").asc_nulls_last(), "item_id").limit(200).select("video_id", "item_id", "attack_pct")
 
 
 CAPABILITIES = ["perception", "temporal", "spatialphysical", "reasoningknowledge"]
@@ -379,9 +365,9 @@ CAPABILITIES = ["perception", "temporal", "spatialphysical", "reasoningknowledge
 def _quota_sql(quota: int) -> str:
     parts, used = [], ""
     for i, g in enumerate(CAPABILITIES):
-        parts.append(f"g{i} as (select item_id, video_id, capability, attack_pct from (select *, row_number() over (partition by video_id order by attack_pct, item_id) as r from sound where capability = '{g}' {used and f'and video_id not in ({used})'}) where r = 1 order by attack_pct, item_id limit {quota})")
-        used = " union all ".join(f"select video_id from g{j}" for j in range(i + 1))
-    return f"with {_SOUND_ITEMS}, {', '.join(parts)} " + " union all ".join(f"select * from g{i}" for i in range(len(CAPABILITIES)))
+        parts.append(f"g{i} as (select item_id, video_id, capability, attack_pct, v from (select *, row_number() over (partition by v order by attack_pct nulls last, item_id) as r from sound where capability = '{g}' {used and f'and v not in ({used})'}) where r = 1 order by attack_pct nulls last, item_id limit {quota})")
+        used = " union all ".join(f"select v from g{j}" for j in range(i + 1))
+    return f"with {_SOUND_ITEMS}, {', '.join(parts)} " + " union all ".join(f"select item_id, video_id, capability, attack_pct from g{i}" for i in range(len(CAPABILITIES)))
 
 
 @query(_quota_sql(50))
@@ -505,10 +491,14 @@ def keep_rule(spark, folder):
     return rows.select("item_id", rule["reason"].alias("reason"), rule["keep"].alias("keep"))
 
 
-@query()
+@query(f"""with {RESULTS}, e as (select 'm' || event_id % 3 as model, event_type = 'click' as blind, user_id as item, user_id % 4 as g0, correct::int as c, k from results where correct is not null), b as (select model, item, avg(c) as b from e where blind group by 1, 2),
+v as (select e.model, item, g0::varchar as g, c, k, b from e left join b using (model, item) where not blind)
+select model, count(*) as n, round(100.0 * avg(c), 6) as video, round(100.0 * avg(b), 6) as blind, round(100.0 * (avg(case when b is not null then c end) - avg(b)), 6) as gain, count(b) as n_blind, round(100.0 * avg(case when g = '0' then c end), 6) as "0", count(*) filter (g = '0') as "0_n", round(100.0 * avg(case when g = '1' then c end), 6) as "1", count(*) filter (g = '1') as "1_n", round(100.0 * avg(case when g = '2' then c end), 6) as "2", count(*) filter (g = '2') as "2_n", round(100.0 * avg(case when g = '3' then c end), 6) as "3", count(*) filter (g = '3') as "3_n",
+avg(16.0)::double as mean_frames, 0::bigint as fallback_items, 0::bigint as unanswered, count(*) < 150 as partial from v group by 1""")
 def evaluation_table(spark, folder):
     rows = results(spark, folder).filter("correct is not null").select(F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string")).alias("model"), F.when(F.col("event_type") == "click", "blind").otherwise("video").alias("protocol"), F.col("user_id").cast("string").alias("item_id"), (F.col("user_id") % 4).cast("string").alias("capability_group"), "correct", F.lit(16).alias("frames"), F.lit(0).alias("fallback"), F.col("k").cast("string").alias("pred"))
-    return rules.evaluation_table(rows, ["0", "1", "2", "3"], 150)
+    out = rules.evaluation_table(rows, ["0", "1", "2", "3"], 150)
+    return out.withColumns({c: r6(c) for c in ("video", "blind", "gain", "0", "1", "2", "3")})
 
 
 # Duplicates and vectors.
@@ -671,27 +661,39 @@ def sample_refill(spark, folder):
     return sampling.refill(rows, marks, "benchmark", "fine_category", "item_id", 60)
 
 
-def _coverage_rows(spark, folder) -> DataFrame:
-    """Candidates of the coverage selection: whole templates, calibrated leader clusters of the videos, a missing attack_pct
-    as the largest. No table has vectors of videos: a hash of the video's name picks one of the embeddings."""
+ORDERING = r"(?i)\b(?:order|sequence)\b.*\b(?:events?|actions?|steps?)\b|chronological"  # questions that ask for an order
+
+
+def _coverage_rows(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Candidates of the coverage selection and the counts of what is left out: whole templates with the number of candidates
+    that share them, calibrated leader clusters of the videos, a missing attack_pct as the largest. No table has vectors of
+    videos: a hash of the video's name picks one of the embeddings."""
     scratch = Scratch(spark)
-    rows = items(spark, folder, ["benchmark", "video_id", "capability_group", "fine_category", "duration_s", "attack_pct", "question"])
-    pct = F.when(~missing("attack_pct"), F.col("attack_pct"))
-    rows = rows.select("item_id", "benchmark", trimmed("video_id").alias("video_id"), frames.duration_group(F.col("duration_s")).alias("grp"), F.coalesce("capability_group", F.lit("none")).alias("scene"), F.coalesce(text.question_template("question"), F.lit("")).alias("template"), F.coalesce("fine_category", F.lit("none")).alias("task"), pct.alias("attack_pct"))
-    rows = scratch.put(rows.filter("video_id is not null and grp is not null"))
+    rows = items(spark, folder, ["benchmark", "video_id", "capability_group", "fine_category", "duration_s", "attack_pct", "question", "license"])
+    most = rows.agg(F.coalesce(F.max(F.when(~missing("attack_pct"), F.col("attack_pct"))), F.lit(0.0)).alias("most"))
+    pct = F.coalesce(F.when(~missing("attack_pct"), F.col("attack_pct")), F.col("most"))
+    rows = rows.crossJoin(F.broadcast(most)).select("item_id", "benchmark", trimmed("video_id").alias("video_id"), "duration_s", F.col("capability_group").alias("scene"), F.col("fine_category").alias("task"), pct.alias("attack_pct"), "question", F.lit("none").alias("removed_by"), F.when(F.col("license").isNull(), "license").alias("pending_steps"))
+    rows = scratch.put(rows)
     vectors = read(spark, folder, "embeddings")
     last = vectors.agg((F.max("vec_id") + 1).alias("n"))
-    videos = rows.groupBy("video_id").agg(F.min("grp").alias("grp")).crossJoin(F.broadcast(last)).withColumn("vec_id", F.pmod(F.xxhash64("video_id"), "n"))
-    videos = scratch.put(videos.join(vectors.select("vec_id", "embedding"), "vec_id"))
+    timed = rows.withColumn("grp", frames.duration_group(F.col("duration_s"))).filter("video_id is not null and grp is not null")
+    videos = timed.groupBy("video_id").agg(F.min("grp").alias("grp")).crossJoin(F.broadcast(last)).withColumn("vec_id", F.pmod(F.xxhash64("video_id"), "n"))
+    videos = scratch.put(videos.join(vectors.select("vec_id", "embedding"), "vec_id", "left"))
     clusters = selection.leader_clusters(videos, "video_id", "grp", "embedding", fixed=0.5).select(F.col("key").alias("video_id"), "cluster")
-    most = rows.agg(F.coalesce(F.max("attack_pct"), F.lit(0.0)).alias("most"))
-    rows = rows.join(clusters, "video_id", "left").withColumn("cluster", F.coalesce("cluster", F.concat(F.lit("video:"), F.col("video_id"))))
-    return rows.crossJoin(F.broadcast(most)).withColumn("attack_pct", F.coalesce("attack_pct", "most")).drop("most")
+    groups = videos.select("video_id", "grp").join(clusters, "video_id", "left").withColumn("cluster", F.coalesce("cluster", F.concat(F.lit("video:"), F.col("video_id"))))
+    return selection.eligible(rows, scratch.put(groups), text.question_template("question"), F.col("question").rlike(ORDERING))
 
 
 @query()
 def coverage_select(spark, folder):
-    return selection.coverage_select(_coverage_rows(spark, folder), list(range(7)), 400)
+    return selection.coverage_select(_coverage_rows(spark, folder)[0], list(range(7)), 400)
+
+
+@query(rf"""with {ITEMS}, v as (select {_ID.format("video_id")} as v, min(case when duration_s >= 0 and not isnan(duration_s) then duration_s end) as d from items_now where {_ID.format("video_id")} is not null group by 1)
+select count(*) filter (license is null) as n_pending, count(*) filter (license is not null and (v.d is null)) as n_no_group, count(*) filter (license is not null and v.d is not null and coalesce(capability_group, '') = '') as n_unlabelled,
+count(*) filter (license is not null and v.d is not null and capability_group <> '' and regexp_matches(question, '(?i)\b(?:order|sequence)\b.*\b(?:events?|actions?|steps?)\b|chronological')) as n_unscorable from items_now left join v on v.v = {_ID.format("video_id")}""")
+def selection_exclusions(spark, folder):
+    return _coverage_rows(spark, folder)[1]
 
 
 @query()
@@ -763,12 +765,12 @@ def source_table(spark, folder):
     return out.withColumn("percent", r6("percent"))
 
 
-@query(f"""with {ITEMS}, v as (select benchmark, {_ID.format("video_id")} as video_id, attack_pct, chance, duration_s from items_now where {SCORE_OK} and chance is not null and not isnan(chance) and duration_s is not null and not isnan(duration_s))
+@query(f"""with {ITEMS}, v as (select benchmark, {_ID.format("video_id")} as video_id, case when {SCORE_OK} then attack_pct end as attack_pct, case when not isnan(chance) then chance end as chance, case when not isnan(duration_s) then duration_s end as duration_s from items_now)
 select count(*) as items, count(distinct benchmark) as benchmarks, count(distinct video_id) as videos, round(median(attack_pct), 6) as attack_median, max(attack_pct) as attack_max, round(avg(chance), 6) as mean_chance, count(*) filter (duration_s >= 300) as long_items from v""")
 def selection_summary(spark, folder):
     rows = items(spark, folder, ["benchmark", "video_id", "attack_pct", "chance", "duration_s"]).withColumn("video_id", trimmed("video_id"))
-    rows = rows.filter(~missing("attack_pct") & F.col("attack_pct").between(0, 1) & ~missing("chance") & ~missing("duration_s"))
-    out = reports.selection_summary(rows)
+    known = lambda c, ok=True: F.when(~missing(c) & ok, F.col(c))
+    out = reports.selection_summary(rows.withColumns({"attack_pct": known("attack_pct", F.col("attack_pct").between(0, 1)), "chance": known("chance"), "duration_s": known("duration_s")}))
     return out.withColumns({"attack_median": r6("attack_median"), "mean_chance": r6("mean_chance")})
 
 
@@ -785,8 +787,7 @@ def frequent_failures(spark, folder):
 
 @query("select o_custkey % 12 as benchmark, round(avg((o_orderkey % 3 <> 0)::int) - avg(1.0::double / (2 + o_orderkey % 4)), 6) as margin, avg((o_orderkey % 3 <> 0)::int) - avg(1.0::double / (2 + o_orderkey % 4)) <= 0.345 as near from orders group by 1")
 def near_chance(spark, folder):
-    reference, _, chance = _attack(spark, folder)
-    return reports.near_chance(reference.join(chance, ["benchmark", "item"]), ["benchmark"], 0.345).withColumn("margin", r6("margin"))
+    return reports.near_chance(_attack(spark, folder)[0], ["benchmark"], 0.345).withColumn("margin", r6("margin"))
 
 
 @query(f"with {ITEMS}, c as (select video_id, benchmark, count(*) as n from items_now where video_id is not null group by 1, 2) select video_id, benchmark from (select *, row_number() over (partition by video_id order by n desc, benchmark) as r from c) where r = 1")
@@ -794,9 +795,9 @@ def video_home_benchmark(spark, folder):
     return aggregates.majority(items(spark, folder, ["video_id", "benchmark"]).filter("video_id is not null"), ["video_id"], "benchmark", [])
 
 
-@query(f"with {ITEMS}, b as (select *, chr(65 + answer_idx) as letter from items_now where options is not null and answer_idx between 0 and 15) select item_id, question || chr(10) || array_to_string(list_transform(options, lambda x, i: chr(64 + i::int) || '. ' || coalesce(x, '')), chr(10)) as rendered from b where question is not null")
+@query(f"with {ITEMS}, b as (select * from items_now where question is not null) select item_id, question || case when len(options) > 0 then chr(10) || array_to_string(list_transform(options, lambda x, i: chr(64 + i::int) || '. ' || coalesce(x, '')), chr(10)) else '' end as rendered from b")
 def rendered_items(spark, folder):
-    rows = items(spark, folder, ["question", "options", "answer_idx"]).filter("question is not null and options is not null and answer_idx between 0 and 15")
+    rows = items(spark, folder, ["question", "options"]).filter("question is not null")
     return rows.select("item_id", options.render_item(F.col("question"), F.col("options")).alias("rendered"))
 
 
@@ -809,7 +810,7 @@ def first_document_per_source(spark, folder):
 @query(f"with {ITEMS}, s as (select item_id, benchmark from items_now where duration_s > 100 and not isnan(duration_s)) select i.item_id, i.benchmark from items_now i where i.item_id not in (select item_id from s)")
 def removed_items(spark, folder):
     rows = items(spark, folder, ["benchmark", "duration_s"])
-    return rows.join(rows.filter((F.col("duration_s") > 100) & ~F.isnan("duration_s")).select("item_id"), "item_id", "left_anti").select("item_id", "benchmark")
+    return joins.remaining(rows, rows.filter((F.col("duration_s") > 100) & ~F.isnan("duration_s")), ["item_id"]).select("item_id", "benchmark")
 
 
 @query()

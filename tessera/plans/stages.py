@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.sinks import append_new, read_or_empty
+from tessera.sources.sinks import overwrite, read_or_empty
+from tessera.storage import Scratch
 
+TOO_LARGE = re.compile(r"too (?:large|long|many)|context (?:length|window)|maximum .*(?:tokens|length)", re.IGNORECASE)
 ANSWERERS: dict[str, Callable[..., Callable[[dict], str | None]]] = {}
 STAGES: dict[str, Callable[[Workspace], DataFrame]] = {}
 
@@ -50,18 +54,27 @@ def _stub(skill: float = 0.5):
     return answer
 
 
-def with_fallback(answer: Callable[[dict], str | None], frames: str = "frames", floor: int = 8) -> Callable[[dict], tuple[str | None, int, str | None]]:
-    """Retries a reply that is too large with half the frames, down to ``floor``: (reply, halvings, error)."""
+@answerer("stub_text")
+def _stub_text(word: str = "scene"):
+    """Deterministic text: the same words for the same row."""
+    return lambda row: f"{word} {row['item_id']} {row.get('perm_id', 0)}"
+
+
+def with_fallback(answer: Callable[[dict], str | None], frames: str = "frames", floor: int = 8) -> Callable[[dict], tuple[str | None, int, str | None, int]]:
+    """Retries a request that is too large with half the frames, down to ``floor``: (reply, halvings, error, frames).
+
+    The answerer says so by an error whose text speaks of the size or length. Any other failure is an error of the row.
+    """
 
     def run(row: dict):
-        n, tries = int(row.get(frames) or 0), 0
+        n, halvings = int(row.get(frames) or 0), 0
         while True:
             try:
-                return answer({**row, frames: n}), tries, None
-            except ValueError as e:
-                if "too large" not in str(e) or n <= floor:
-                    return None, tries, str(e)[:200]
-                n, tries = max(floor, n // 2), tries + 1
+                return answer({**row, frames: n}), halvings, None, n
+            except Exception as e:  # noqa: BLE001 - a row's failure must not end the task
+                if not TOO_LARGE.search(str(e)) or n <= floor:
+                    return None, halvings, f"{type(e).__name__}: {e}"[:300], n
+                n, halvings = max(floor, n // 2), halvings + 1
 
     return run
 
@@ -86,29 +99,65 @@ def run_stages(ws: Workspace, names: list[str] | None = None) -> list[str]:
     ran = []
     for name, function in STAGES.items():
         if names is None or name in names:
-            function(ws).write.mode("overwrite").parquet(ws.path(name))
+            overwrite(function(ws), ws.path(name))
             ran.append(name)
     return ran
 
 
-RESULT = "item_id string, perm_id int, model string, pred string, fallback int, error string"
+RESULT = "condition string, role string, model string, item_id string, perm_id int, pred string, frames int, fallback int, error string, ms long, run long"
+KEY = ["condition", "role", "model", "item_id", "perm_id"]
+BATCH_ROWS = 20_000  # calls per written batch: what a lost job costs at most
+STOP_AFTER = 20  # errors without one success that end a run
+PRED_CHARS = 2_000
+
 
+def read_log(spark: SparkSession, log: str, role: str | None = None) -> DataFrame:
+    """One row per key: the latest reply where there is one, else the latest error. Rows without a role pass any ``role``."""
+    rows = read_or_empty(spark, log, RESULT)
+    if role is not None:
+        rows = rows.filter(F.coalesce(F.col("role"), F.lit(role)) == role)
+    rest = [c for c in rows.columns if c not in KEY]
+    best = F.max_by(F.struct(*rest), F.struct(_answered(), F.col("run"))).alias("__r")
+    return rows.groupBy(*KEY).agg(best).select(*KEY, "__r.*").select(*rows.columns)
 
-def call_model(todo: DataFrame, log: str, model: str, kind: str = "stub", **options) -> DataFrame:
-    """Answers the rows of ``todo`` (item_id, perm_id, gold, k, ...) that the log does not have yet; returns the whole log.
 
-    Rows already answered by this model are removed by an anti join before the function sees anything; failures are rows
-    with an error, so one bad row stops nothing.
+def _answered() -> Column:
+    return F.col("pred").isNotNull() & F.col("error").isNull()
+
+
+def call_model(todo: DataFrame, log: str, model: str, kind: str = "stub", condition: str = "", role: str = "", max_minutes: float | None = None, batch_rows: int = BATCH_ROWS, clock: Callable[[], float] = time.time, **options) -> DataFrame:
+    """Answers the rows of ``todo`` (item_id, perm_id, ..., what the answerer needs) that have no reply yet; returns the log.
+
+    Rows with a reply of this model, condition and role are removed by an anti join before the answerer sees anything; rows
+    that failed are asked again. A failure is a row with an error, so one bad row stops nothing. Calls are written in batches
+    of about ``batch_rows``: a lost job repeats one batch. After ``max_minutes`` no further row is asked, and a run stops
+    after ``STOP_AFTER`` errors without a success; what is missing then is left to the next run. ``todo`` holds a key once.
     """
     spark = todo.sparkSession
-    done = read_or_empty(spark, log, RESULT).filter(F.col("model") == model).select("item_id", "perm_id")
-    rest = todo.join(done, ["item_id", "perm_id"], "left_anti")
+    began = clock()
+    done = read_log(spark, log).filter(_answered() & (F.col("model") == model) & (F.col("condition") == condition) & (F.col("role") == role))
+    rest = Scratch(spark).put(todo.join(done.select("item_id", "perm_id"), ["item_id", "perm_id"], "left_anti"))
+    batches = max(1, -(-rest.count() // batch_rows))
 
-    def answer(batches):
+    def answer(batches_):
         ask = with_fallback(ANSWERERS[kind](**options))
-        for pdf in batches:
-            replies = [ask(r) for r in pdf.to_dict("records")]
-            yield pd.DataFrame({"item_id": pdf["item_id"], "perm_id": pdf["perm_id"], "model": model, "pred": [r[0] for r in replies], "fallback": [r[1] for r in replies], "error": [r[2] for r in replies]})
-
-    append_new(rest.mapInPandas(answer, RESULT), log, ["model", "item_id", "perm_id"])
-    return spark.read.parquet(log)
+        for pdf in batches_:
+            rows = []
+            for r in pdf.to_dict("records"):
+                start = time.time()
+                if max_minutes is not None and start - began > 60 * max_minutes:
+                    break
+                reply, fallback, error, frames = ask(r)
+                rows.append((condition, role, model, r["item_id"], r["perm_id"], None if reply is None else reply[:PRED_CHARS], frames, fallback, error, int(1000 * (time.time() - start)), int(1e6 * start)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
+
+    for i in range(batches):
+        if max_minutes is not None and clock() - began > 60 * max_minutes:
+            break
+        part = rest.filter(F.pmod(F.xxhash64("item_id", "perm_id"), F.lit(batches)) == i)
+        part.mapInPandas(answer, RESULT).write.mode("append").parquet(log)
+        mine = read_or_empty(spark, log, RESULT).filter((F.col("model") == model) & (F.col("condition") == condition) & (F.col("run") >= int(1e6 * began)))
+        seen = mine.agg(F.count_if(_answered()).alias("good"), F.count_if(~_answered()).alias("bad")).first()
+        if not seen.good and seen.bad >= STOP_AFTER:
+            break
+    return read_log(spark, log)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.options import typed_answer
+from tessera.operators.ranks import exact_rank
+from tessera.storage import Scratch
 
 # Names under which a column plays a role, in order of preference (compared without case, blanks and dashes).
 ROLES = {
@@ -221,7 +223,7 @@ def interpolate(text: str, env: dict[str, str] | None = None) -> str:
 def records(rows: DataFrame, spec: IngestSpec, order: str) -> DataFrame:
     """(n, v, q, a, opts, sub): filtered, projected and numbered in the order of the sequence column ``order``.
 
-    Rows without a video or question, or with an answer that cannot be typed, are dropped. ``dedupe`` keeps the first row per
+    ``order`` must be unique. Rows without a video or question, or with an answer that cannot be typed, are dropped. ``dedupe`` keeps the first row per
     video and first 200 characters of the question. Numbering comes before ``keep: mcq``, so ids do not depend on it.
     """
     for rule in spec.filters:
@@ -243,9 +245,8 @@ def records(rows: DataFrame, spec: IngestSpec, order: str) -> DataFrame:
     if spec.dedupe:
         out = out.withColumn("__q", F.substring("q", 1, 200))
         out = out.groupBy("v", "__q").agg(F.min_by(F.struct("__o", "q", "a", "opts", "sub"), "__o").alias("__r")).select("v", "__r.*")
-    from pyspark.sql import Window
-
-    out = out.withColumn("n", F.row_number().over(Window.orderBy("__o")) - 1).select("n", "v", "q", "a", "opts", "sub")  # file order is global
+    places = exact_rank(out.select("__o"), [], ["__o"], "__n", Scratch(rows.sparkSession))  # file order is global; only the key is ranked
+    out = out.join(places, "__o").select((F.col("__n") - 1).cast("int").alias("n"), "v", "q", "a", "opts", "sub")
     if spec.keep == "mcq":
         out = out.filter(F.coalesce(F.size("opts") >= 2, F.lit(False)) & F.trim("a").rlike(r"^\(?[A-Pa-p]\)?\.?$"))
     return out

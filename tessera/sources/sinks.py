@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +13,24 @@ from tessera.sources.readers import _exists
 
 
 def overwrite(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Replaces a table; readers see the old or the new one."""
-    df.write.mode("overwrite").format(kind).save(path)
+    """Replaces a table. The new one is written beside it, then the folders change names: a reader that opens the path finds
+    a whole table, old or new, and a failed write leaves the old one; only between the two renames is there none. ``df`` may
+    read the table it replaces."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    name = lambda suffix: jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}{suffix}")
+    fresh, old, target = name(f".new-{uuid.uuid4().hex}"), name(f".old-{uuid.uuid4().hex}"), name("")
+    fs = target.getFileSystem(conf)
+    df.write.format(kind).save(fresh.toString())
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"cannot move {path} away")
+    if not fs.rename(fresh, target):
+        if had:
+            fs.rename(old, target)
+        raise OSError(f"cannot move the new table to {path}")
+    if had:
+        fs.delete(old, True)
 
 
 def append_new(df: DataFrame, path: str, key: list[str]) -> None:
@@ -47,19 +67,24 @@ def markdown_cards(df: DataFrame, title: str) -> DataFrame:
 
 
 def write_tasks(df: DataFrame, folder: str, name: str, files: dict[str, str]) -> DataFrame:
-    """(name, written): one directory per row, each file from a column; written by the executors, for folders they share."""
-    import os
-
-    import pandas as pd
+    """(name, written): one directory per row, each file from a column, through Arrow's file systems.
 
+    ``folder`` is a path that all executors share: a plain path of a shared mount, or a URI (hdfs, s3). A file is written
+    whole before it gets its name, so a repeated or speculative task does no harm. Null columns give empty files.
+    """
     def put(batches):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                target = os.path.join(folder, row[name])
-                os.makedirs(target, exist_ok=True)
+                target = f"{root}/{row[name]}"
+                system.create_dir(target, recursive=True)
                 for file, column in files.items():
-                    with open(os.path.join(target, file), "w", encoding="utf-8") as out:
-                        out.write(row[column] or "")
+                    part = f"{target}/.{file}.{uuid.uuid4().hex}"
+                    with system.open_output_stream(part) as out:
+                        out.write((row[column] or "").encode())
+                    system.move(part, f"{target}/{file}")
             yield pd.DataFrame({"name": pdf[name], "written": len(files)})
 
     return df.select(name, *files.values()).mapInPandas(put, "name string, written int")

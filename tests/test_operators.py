@@ -28,9 +28,9 @@ def test_percentile_rank_is_the_average_rank(spark):
     df = spark.createDataFrame([*enumerate(values)], "i int, v double")
     filled = [3.0 if v is None or math.isnan(v) else v for v in values]
     want = [(sum(x < v for x in filled) + (sum(x == v for x in filled) + 1) / 2) / len(filled) for v in filled]
-    got = {r.i: r.r for r in aggregates.percentile_rank(df, "v", "r").collect()}
+    got = {r.i: r.r for r in aggregates.percentile_rank(df, {"v": "r"}).collect()}
     assert [got[i] for i in range(len(values))] == pytest.approx(want)
-    assert [r.r for r in aggregates.percentile_rank(df.withColumn("v", F.lit(None).cast("double")), "v", "r").collect()] == [None] * 8
+    assert [r.r for r in aggregates.percentile_rank(df.withColumn("v", F.lit(None).cast("double")), {"v": "r"}).collect()] == [None] * 8
 
 
 def test_cosine_pairs_and_groups_against_brute_force(spark, monkeypatch):
@@ -65,8 +65,9 @@ def test_long_chain_of_labels(spark):
 def test_joins(spark):
     a = spark.createDataFrame([(1, 0.0), (1, 10.0), (2, 5.0), (None, 5.0)], "k int, t double")
     b = spark.createDataFrame([(1, 2.0), (1, -2.0), (1, 11.0), (2, 50.0)], "k int, u double")
-    got = {(r.k, r.t): r.n for r in joins.nearest_join(a, b, ["k"], "t", "u", 10.0, "n").collect()}
-    assert got == {(1, 0.0): -2.0, (1, 10.0): 11.0, (2, 5.0): None, (None, 5.0): None}
+    for parts in (1, 5):
+        got = {(r.k, r.t): r.n for r in joins.nearest_join(a, b, ["k"], "t", "u", "n", partitions=parts).collect()}
+        assert got == {(1, 0.0): -2.0, (1, 10.0): 11.0, (2, 5.0): 50.0, (None, 5.0): None}
     base = spark.createDataFrame([(1, "x"), (2, None)], "k int, v string")
     patch = spark.createDataFrame([(1, None), (2, "n")], "k int, v string")
     assert {tuple(r) for r in joins.overlay(base, patch, ["k"], ["v"]).collect()} == {(1, "x"), (2, "n")}
@@ -113,8 +114,8 @@ def test_permutations_are_those_of_the_generator(spark):
 
 def test_coverage_selection_keeps_its_caps(spark):
     rng = random.Random(7)
-    rows = [(f"i{i:04d}", f"b{rng.randint(0, 7)}", f"v{rng.randint(0, 250)}", rng.randint(0, 2), f"s{rng.randint(0, 3)}", f"c{rng.randint(0, 60)}", f"t{rng.randint(0, 30)}", f"k{rng.randint(0, 4)}", round(rng.random(), 3)) for i in range(800)]
-    df = spark.createDataFrame(rows, "item_id string, benchmark string, video_id string, grp int, scene string, cluster string, template string, task string, attack_pct double")
+    rows = [(f"i{i:04d}", f"b{rng.randint(0, 7)}", f"v{rng.randint(0, 250)}", rng.randint(0, 2), f"s{rng.randint(0, 3)}", f"c{rng.randint(0, 60)}", f"t{rng.randint(0, 30)}", f"k{rng.randint(0, 4)}", round(rng.random(), 3), rng.randint(1, 5)) for i in range(800)]
+    df = spark.createDataFrame(rows, "item_id string, benchmark string, video_id string, grp int, scene string, cluster string, template string, task string, attack_pct double, tgroup int")
     out = [r.item_id for r in selection.coverage_select(df, [0, 1, 2], 90, share=0.2).orderBy("place").collect()]
     assert out == [r.item_id for r in selection.coverage_select(df.orderBy("attack_pct"), [0, 1, 2], 90, share=0.2).orderBy("place").collect()]
     chosen = [r for r in rows if r[0] in out]
@@ -194,10 +195,10 @@ def test_breaking_level_near_chance(spark):
 
 def test_coverage_rows_keep_whole_templates_and_unscored_items(spark, tmp_path):
     long = "What does the person in the red coat hold near the "
-    rows = [(f"i{i}", i, "B", f"v{i}", "cap", "fine", 20.0, [0.4, None, float("nan"), 0.9][i], f"{long}{w}?") for i, w in enumerate(["door", "boat", "lamp", "rope"])]
-    spark.createDataFrame(rows, "item_id string, row_seq long, benchmark string, video_id string, capability_group string, fine_category string, duration_s double, attack_pct double, question string").write.parquet(str(tmp_path / "items.parquet"))
+    rows = [(f"i{i}", i, "B", f"v{i}", "cap", "fine", 20.0, [0.4, None, float("nan"), 0.9][i], f"{long}{w}?", "x") for i, w in enumerate(["door", "boat", "lamp", "rope"])]
+    spark.createDataFrame(rows, "item_id string, row_seq long, benchmark string, video_id string, capability_group string, fine_category string, duration_s double, attack_pct double, question string, license string").write.parquet(str(tmp_path / "items.parquet"))
     spark.createDataFrame([(i, [float(i == j) for j in range(50)]) for i in range(50)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    out = {r.item_id: r for r in queries._coverage_rows(spark, str(tmp_path)).collect()}
+    out = {r.item_id: r for r in queries._coverage_rows(spark, str(tmp_path))[0].collect()}
     assert {k: r.attack_pct for k, r in out.items()} == {"i0": 0.4, "i1": 0.9, "i2": 0.9, "i3": 0.9}
     assert len({r.template for r in out.values()}) == 4 and all(r.cluster.startswith("1:") for r in out.values())
     assert len(queries.coverage_select(spark, str(tmp_path)).collect()) == 4

@@ -49,8 +49,8 @@ def test_audit_runs_twice(spark, onboarded, tmp_path):
     sample = {r.item_id for r in out["sample"].collect()}
     assert len(sample) == 60
     margins = {r.attacker: r for r in out["margins"].collect()}
-    assert set(margins) == {"blind", "single"} and margins["blind"].n == 60
-    assert out["levels"].first().level == "unbroken"
+    assert set(margins) == {"blind:stub", "single_frame:stub"} and margins["blind:stub"].n == 60
+    assert out["levels"].first().break_level == "unbroken" and out["levels"].first().levels_measured == "text;frame"
     assert out["cards"].first().card.startswith("# Toy")
     answers = spark.read.parquet(str(tmp_path / "answers")).count()
     again = pipelines.audit(onboarded.items, str(tmp_path), target=60, skill=0.9)
