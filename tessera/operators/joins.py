@@ -40,6 +40,13 @@ def first_match(base: DataFrame, sources: list[tuple[str, DataFrame]], key: list
     return joined.withColumn("__p", F.coalesce(*picked)).select(*base.columns, F.col("__p.v").alias(out), F.col("__p.o").alias(origin))
 
 
+def with_gold(results: DataFrame, samples: DataFrame, key: list[str], own: str, gold: str) -> DataFrame:
+    """(key, gold, other result columns): results of known samples; a result's own gold counts before the sample's."""
+    joined = results.join(samples.select(*key, F.col(gold).alias("__g")), key)
+    rest = [c for c in results.columns if c not in (*key, own)]
+    return joined.select(*key, *rest, F.coalesce(own, "__g").alias(gold))
+
+
 def block_self_join(df: DataFrame, key: str, block: list[str], keep: list[str], residual) -> DataFrame:
     """(key_a, key_b, columns of ``keep`` with _a and _b): pairs a < b inside a block that satisfy ``residual(a, b)``.
 

@@ -45,6 +45,12 @@ def rates(rows: DataFrame, by: list[str], flags: dict[str, Column]) -> DataFrame
     return rows.groupBy(*by).agg(F.count("*").alias("n"), *[rate(c).alias(k) for k, c in flags.items()])
 
 
+def item_means(rows: DataFrame, by: list[str], item: str, correct: str = "correct") -> DataFrame:
+    """(by, accuracy, items): the mean over items of each item's mean; unscored rows count for nothing."""
+    per = rows.groupBy(*by, item).agg(rate(F.col(correct)).alias("__a")).filter("__a is not null")
+    return per.groupBy(*by).agg(F.avg("__a").alias("accuracy"), F.count("*").alias("items"))
+
+
 def pool_summary(rows: DataFrame, by: list[str], reasons: list[str]) -> DataFrame:
     """(by, n, one count per reason, remaining, pending, videos): a pending row counts as remaining."""
     kept = F.col("removed_by") == "none"

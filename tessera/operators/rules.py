@@ -191,8 +191,8 @@ def format_detail(items: DataFrame, by: list[str], most: int = 12) -> DataFrame:
 
     shares = position_shares(rows, by, "letter").filter("modal").select(*by, F.col("letter").alias("modal_position"), F.col("share").alias("modal_share"))
     entropy = position_entropy(rows, by, "letter", "k").select(*by, "entropy")
-    out = listed("k", "k_counts")
-    for part in (listed("letter", "positions"), shares, entropy, listed("subtask", "subtasks", True)):
+    out = rows.select(*by).distinct()
+    for part in (listed("k", "k_counts"), listed("letter", "positions"), shares, entropy, listed("subtask", "subtasks", True)):
         out = out.join(part, by, "left")
     return out
 
