@@ -94,8 +94,8 @@ def test_model_calls_resume(spark, tmp_path):
             raise ValueError("request too large")
         return "A"
 
-    assert stages.with_fallback(small_only)({"frames": 64}) == ("A", 2, None) and calls == [64, 32, 16]
-    assert stages.with_fallback(small_only, floor=30)({"frames": 64})[2] == "request too large"
+    assert stages.with_fallback(small_only)({"frames": 64}) == ("A", 2, None, 16) and calls == [64, 32, 16]
+    assert stages.with_fallback(small_only, floor=30)({"frames": 64})[2] == "ValueError: request too large"
 
 
 def test_stages_run_in_registry_order(spark, tmp_path):
