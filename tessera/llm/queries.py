@@ -194,10 +194,10 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
 def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(spark)
     docs = _read(spark, folder, "documents")
-    sizes = tokens.encode_corpus(docs, "doc_id", "text", count=True)
+    sizes = tokens.encode_corpus(docs, "doc_id", "text", count=True, carry="source").withColumnRenamed("source", "__raw")
     targets = _read(spark, folder, "source_targets")
-    named = canonical(docs.select("doc_id", F.col("source").alias("__raw")), "__raw", targets, "source", "source").drop("__raw")
-    sized = scratch.put(sizes.join(named, "doc_id").select("source", F.col("doc_id").alias("key"), F.col("n_tokens").alias("size")))
+    named = canonical(sizes, "__raw", targets, "source", "source")
+    sized = scratch.put(named.select("source", F.col("doc_id").alias("key"), F.col("n_tokens").alias("size")))
     total = sized.agg(F.sum("size")).first()[0] or 0
     return mixing.mix(sized, targets, total, scratch)
 
@@ -251,6 +251,13 @@ ORACLE = {
   where not regexp_full_match(w, '\P{{N}}')), n as (select item_id, count(*) as n from words group by 1),
 c as (select x.item_id as a, y.item_id as b, count(*) as c from words x join words y on x.w = y.w and x.item_id < y.item_id group by 1, 2)
 select a as item_id_a, b as item_id_b from c join n na on na.item_id = a join n nb on nb.item_id = b where c * 3 >= 2 * (na.n + nb.n - c)""",
+    "p4_groups": rf"""with recursive {_LATEST}, words as (select distinct item_id, w from (select item_id,
+  unnest(regexp_extract_all(lower(coalesce(question, '') || ' ' || coalesce(array_to_string(options, ' '), '')), '[\p{{L}}\p{{N}}]+')) as w from latest)
+  where not regexp_full_match(w, '\P{{N}}')), n as (select item_id, count(*) as n, string_agg(w, ' ' order by w) as s from words group by 1),
+c as (select x.item_id as a, y.item_id as b, count(*) as c from words x join words y on x.w = y.w and x.item_id <> y.item_id group by 1, 2),
+e as (select a, b from c join n na on na.item_id = a join n nb on nb.item_id = b where c * 3 >= 2 * (na.n + nb.n - c)),
+reach as (select a, b from e union select r.a, e.b from reach r join e on r.b = e.a), g as (select a, min(b) as m from reach group by 1), l as (select a, count(*) as links from e group by 1)
+select item_id, min(item_id) over (partition by s) as class, least(item_id, coalesce(m, item_id)) as group_id, coalesce(links, 0) as links from n left join g on g.a = item_id left join l on l.a = item_id""",
     "p5_found": f"""with {_LATEST}, named as (select 'benchmark' as dimension, {_KEY.format("benchmark")} as k from latest
   union all select 'capability_group', {_KEY.format("capability_group")} from latest union all select 'fine_category', {_KEY.format("fine_category")} from latest),
 counts as (select dimension, k, count(*) as n from named group by 1, 2), total as (select count(*) // 10 as n from latest)
@@ -259,4 +266,7 @@ where greatest(min_items, target_pm * total.n // 1000) > coalesce(c.n, 0)""",
     "p6_found": f"""with {_LATEST}, total as (select count(*) * 5 // 100 as cap from latest),
 ranked as (select item_id, row_number() over (partition by {_KEY.format("benchmark")} order by case when attack_pct >= 0 and attack_pct <= 1 and not isnan(attack_pct) then attack_pct else 2 end, item_id) as r
   from latest where {_KEY.format("benchmark")} <> '') select item_id from ranked, total where r > cap""",
+    "p6_kept": f"""with {_LATEST}, total as (select count(*) * 5 // 100 as cap from latest),
+ranked as (select item_id, {_KEY.format("benchmark")} as k, attack_pct, row_number() over (partition by {_KEY.format("benchmark")} order by case when attack_pct >= 0 and attack_pct <= 1 and not isnan(attack_pct) then attack_pct else 2 end, item_id) as r from latest)
+select item_id, k as benchmark_key, attack_pct from ranked, total where r <= cap or coalesce(k, '') = ''""",
 }

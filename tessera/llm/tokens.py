@@ -98,30 +98,35 @@ def _cut(chunk: int, keys: list[str]):
     return run
 
 
-def encode_corpus(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, chunk: int = CHUNK, count: bool = False) -> DataFrame:
+def encode_corpus(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, chunk: int = CHUNK, count: bool = False, carry: str | None = None) -> DataFrame:
     """(key, ids) or, with ``count``, (key, n_tokens): one row per input row, whole texts, no special tokens.
 
+    A column ``carry`` comes out beside the key, so that it need not be joined back.
+
     Null and empty texts give an empty list (0). Blanks are encoded as they are. Rows that repeat come out as often as they
     stand in the input. Other columns are left out, so they can clash with nothing.
     """
     result = "n_tokens long" if count else IDS
     kind = docs.schema[key].dataType.simpleString()
-    narrow = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    along = [] if carry is None else ["__carry"]
+    keys = ["__key", *along]
+    named = f"__key {kind}" + (f", __carry {docs.schema[carry].dataType.simpleString()}" if along else "")
+    narrow = docs.select(F.col(key).alias("__key"), *[F.col(carry).alias(c) for c in along], F.col(text).alias("__text"))
     long = F.length("__text") > chunk
     short_rows = narrow.filter(~F.coalesce(long, F.lit(False)))
-    out = short_rows.mapInArrow(_encode_batches(vocabulary, ["__key"], count), f"__key {kind}, {result}")
-    tall = narrow.filter(long).withColumn("__hash", F.xxhash64("__text"))
-    pieces = tall.mapInArrow(_cut(chunk, ["__key", "__hash"]), f"__key {kind}, __hash long, __part int, __text string")
+    out = short_rows.mapInArrow(_encode_batches(vocabulary, keys, count), f"{named}, {result}")
+    tall = narrow.filter(long).withColumn("__hash", F.xxhash64("__text", *along))
+    pieces = tall.mapInArrow(_cut(chunk, [*keys, "__hash"]), f"{named}, __hash long, __part int, __text string")
     spread = pieces.repartition("__key", "__hash", "__part")
-    coded = spread.mapInArrow(_encode_batches(vocabulary, ["__key", "__hash", "__part"], False), f"__key {kind}, __hash long, __part int, ids array<int>")
+    coded = spread.mapInArrow(_encode_batches(vocabulary, [*keys, "__hash", "__part"], False), f"{named}, __hash long, __part int, ids array<int>")
 
     def join(pdf):
         enc = encoder(vocabulary)
         first = pdf.drop_duplicates("__part").sort_values("__part")
         ids = join_tree([list(map(int, x)) for x in first["ids"]], enc)
         times = int((pdf["__part"] == 0).sum())  # equal rows with one key and text
-        one = first[["__key"]].iloc[[0] * times]
+        one = first[keys].iloc[[0] * times]
         return one.assign(**({"n_tokens": len(ids)} if count else {"ids": [np.asarray(ids, dtype=np.int32)] * times}))
 
-    joined = coded.groupBy("__key", "__hash").applyInPandas(join, f"__key {kind}, {result}")
-    return out.union(joined).withColumnRenamed("__key", key)
+    joined = coded.groupBy("__key", "__hash").applyInPandas(join, f"{named}, {result}")
+    return out.union(joined).withColumnsRenamed({"__key": key} | ({"__carry": carry} if along else {}))
