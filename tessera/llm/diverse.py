@@ -79,8 +79,9 @@ def diverse_subset(records: DataFrame, key: str, fine: dict[str, Column], coarse
             if have < size:
                 old, state = state, state.join(taken.select("id"), "id", "left_anti")
                 for n in many:
-                    added = taken.filter(F.col(f"v_{n}").isNotNull()).groupBy(f"v_{n}").agg(F.count("*").alias("__add"))
-                    state = state.join(added, f"v_{n}", "left").withColumn(f"m_{n}", F.col(f"m_{n}") + F.coalesce("__add", F.lit(0))).drop("__add")
+                    added = scratch.put(taken.filter(F.col(f"v_{n}").isNotNull()).groupBy(F.concat(F.lit("="), f"v_{n}").alias("__v")).agg(F.count("*").alias("__add")))
+                    own = F.coalesce(F.concat(F.lit("="), f"v_{n}"), F.concat(F.lit("-"), "id"))  # nulls do not meet in one task
+                    state = state.join(added, own == F.col("__v"), "left").withColumn(f"m_{n}", F.col(f"m_{n}") + F.coalesce("__add", F.lit(0))).drop("__add", "__v")
                 state = scratch.put(state)
                 scratch.drop(old)
         if n_taken < REPEAT * (size - have + n_taken):
