@@ -54,11 +54,12 @@ def mix(sized: DataFrame, targets: DataFrame, total: int, scratch: Scratch, seed
     stock = usable.groupBy("source").agg(F.sum("size").alias("available"))
     plan = targets.select("source", "target_pm", F.coalesce("max_repeats", F.lit(1)).alias("max_repeats")).join(stock, "source", "left")
     available = F.coalesce("available", F.lit(0)).cast("long")
-    budget = F.floor(F.col("target_pm") * F.lit(int(total)) / 1000).cast("long")
+    wanted = F.col("target_pm").cast("long") * F.lit(int(total)).cast("long")  # in thousandths; an int holds two thousand million of them
+    budget = F.floor(wanted / 1000).cast("long")
     plan = plan.withColumns({"available": available, "budget": budget})
     full = F.when(F.col("available") > 0, F.least(F.floor(F.col("budget") / F.col("available")), F.col("max_repeats").cast("long"))).otherwise(F.lit(0)).cast("long")
     rest = F.when(F.col("full") < F.col("max_repeats"), F.col("budget") - F.col("full") * F.col("available")).otherwise(F.lit(0)).cast("long")
-    short = F.col("available") * F.col("max_repeats") * 1000 < F.col("target_pm") * F.lit(int(total))
+    short = F.col("available") * F.col("max_repeats") * 1000 < wanted
     plan = scratch.put(plan.withColumn("full", full).withColumn("rest", rest).withColumn("short", short))
     edge = thresholds(usable, plan.select("source", F.col("rest").alias("budget")), scratch)
     rules = plan.select("source", "full", "max_repeats").join(edge, "source")

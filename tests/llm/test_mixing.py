@@ -43,3 +43,14 @@ def test_empty(spark):
     targets = spark.createDataFrame([("s", 1000, 1)], "source string, target_pm int, max_repeats int")
     mixture, report = mixing.mix(sized, targets, 0, Scratch(spark))
     assert mixture.collect() == [] and report.first().reached == 0
+
+
+def test_totals_beyond_an_int(spark):
+    sized = spark.createDataFrame([("big", i, 30_000_000) for i in range(10)] + [("small", 100, 10)], "source string, key long, size long")
+    targets = spark.createDataFrame([("big", 600, 1), ("small", 400, 3)], "source string, target_pm int, max_repeats int")
+    total = 300_000_010
+    mixture, report = mixing.mix(sized, targets, total, Scratch(spark))
+    got = {r.source: r for r in report.collect()}
+    assert (got["big"].budget, got["small"].budget) == (600 * total // 1000, 400 * total // 1000)
+    assert (got["big"].reached, got["small"].reached) == (180_000_000, 30) and mixture.count() == 7
+    assert got["small"].short and not got["big"].short
