@@ -3,20 +3,23 @@
 Votes are reduced to pair counts (annotator i chose x while annotator j chose y). From them:
 
 * the chance-corrected agreement of two annotators is the product of their accuracies times a known factor, so every
-  triplet (i, j, k) gives i's accuracy as sqrt(M_ij * M_ik / M_jk); the median over triplets counts;
+  triplet (i, j, k) gives i's accuracy as sqrt(M_ij * M_ik / M_jk); the median over triplets counts. The partners of an
+  annotator with more than ``ANCHORS`` of them form ``GROUPS`` groups; its triplets are summed up by pair of groups, weighted
+  by their common items, and the median over these sums counts, as most of so many pairs have few items in common;
 * an annotator's bias is what remains of its own vote shares after its accurate votes;
 * with accuracies and biases of the others known, each annotator's table P(vote | truth) follows linearly from the same
   pair counts, corrected for the chance votes of the partner.
 
 Votes of an item are then combined by log-odds weights, log P(vote | category), plus the log prior.
 
-Annotators may be many: pair counts stay sparse tables, every annotator is solved on its own from its ``ANCHORS`` partners
-with the most common items (all of them where there are fewer), and the fitted tables reach the votes by a join once they
-hold more than ``CELLS`` numbers; below, they travel with the tasks. Both ways give the same result. Categories are a list.
+Annotators may be many: pair counts stay sparse tables, every annotator is solved on its own from all its partners, and the
+fitted tables reach the votes by a join once they hold more than ``CELLS`` numbers; below, they travel with the tasks. Both
+ways give the same result. Categories are a list.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +30,10 @@ from pyspark.sql import functions as F
 from tessera.operators.ranks import exact_rank
 from tessera.storage import Scratch
 
-ANCHORS = 64  # partners from which an annotator is solved
+ANCHORS = 64  # partners up to which each one stands alone in the triplets
+GROUPS = 8  # groups of more partners than these
+ENTRIES = 1_000_000  # about as many pairs of annotators reach one task of the grouped triplets from each side
+PART = 64  # partners whose pair counts are held at once
 CELLS = 1_000_000  # numbers of the fitted tables (annotators x categories x categories) that travel with a task
 AGREES = 5e-4  # agreement above chance below which a pair of partners says nothing
 REFERENCE, FLOOR = 0.2, 0.002  # least accuracy of a partner that tells of another one; least probability of a vote
@@ -67,7 +73,7 @@ def gather_votes(votes: DataFrame, item: list[str], annotator: str, category: st
     return Votes(scratch.put(rows.select(*item, F.col("v.who").alias("who"), F.col("v.what").alias("what"))), names, categories, names.count())
 
 
-def fit(votes: Votes, scratch: Scratch, rounds: int = 3, anchors: int = ANCHORS, cells: int = CELLS) -> VoteModel:
+def fit(votes: Votes, scratch: Scratch, rounds: int = 3, anchors: int = ANCHORS, cells: int = CELLS, entries: int = ENTRIES) -> VoteModel:
     """Fits the model from pair counts over all items; ``rounds`` passes refine the category prior."""
     nc = len(votes.categories)
     if not votes.n_annotators:
@@ -76,12 +82,7 @@ def fit(votes: Votes, scratch: Scratch, rounds: int = 3, anchors: int = ANCHORS,
     pairs = scratch.put(counted.groupBy("i", "j").agg(F.sum("n").alias("n"), F.collect_list(F.struct("cell", "n")).alias("cells")))  # at most nc * nc cells
     own = pairs.filter("i = j").select(F.col("i").alias("who"), "cells")
     moments = scratch.put(pairs.filter("i != j").mapInPandas(_excess(nc), "i int, j int, n long, d double"))
-    near = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "j"))
-    partners = scratch.put(moments.withColumn("r", near).filter(F.col("r") <= anchors).select("i", "j", "d"))
-    left, right = partners, partners.select("i", F.col("j").alias("k"), F.col("d").alias("e"))
-    third = moments.select("j", F.col("i").alias("k"), F.col("d").alias("f")).filter(F.col("f") > AGREES)
-    ratios = left.join(right, "i").filter("j < k").join(third, ["j", "k"]).select("i", (F.col("d") * F.col("e") / F.col("f")).alias("q"))
-    stats = scratch.put(own.join(ratios.groupBy(F.col("i").alias("who")).agg(F.median("q").alias("q")), "who", "left"))
+    stats = scratch.put(own.join(_medians(moments, votes.n_annotators, scratch, anchors, entries), "who", "left"))
     shares = scratch.put(stats.mapInPandas(_shares(nc), "who int, q double, share array<double>"))
     prior = np.array(shares.agg(F.array(*[F.avg(F.col("share")[c]) for c in range(nc)]).alias("p")).first().p)
     kind = "who int, accuracy double, bias array<double>, table array<double>"
@@ -89,9 +90,10 @@ def fit(votes: Votes, scratch: Scratch, rounds: int = 3, anchors: int = ANCHORS,
         simple = scratch.put(shares.mapInPandas(_simple(prior, nc), kind))
         prior = _prior(votes, VoteModel(simple, prior, cells), nc)
     theirs = simple.select(F.col("who").alias("j"), F.col("accuracy").alias("acc"), F.col("bias").alias("by"))
-    told = partners.select("i", "j").join(pairs, ["i", "j"]).join(theirs, "j").select(F.col("i").alias("who"), "j", "n", "cells", "acc", "by")
-    both = simple.groupBy("who").cogroup(told.groupBy("who"))
-    model = VoteModel(scratch.put(both.applyInPandas(_tables(prior, nc), kind)), prior, cells)
+    told = pairs.filter("i != j").join(theirs.filter(F.col("acc") >= REFERENCE), "j").select(F.col("i").alias("who"), F.floor(F.col("j") / PART).cast("int").alias("part"), "j", "n", "cells", "acc", "by")
+    parts = told.groupBy("who", "part").applyInPandas(_told(prior, nc), "who int, part int, top array<double>, low array<double>")
+    both = simple.groupBy("who").cogroup(parts.groupBy("who"))
+    model = VoteModel(scratch.put(both.applyInPandas(_tables(nc), kind)), prior, cells)
     model.prior = _prior(votes, model, nc)
     return model
 
@@ -146,6 +148,72 @@ def _excess(nc: int):
     return run
 
 
+def _medians(moments: DataFrame, n_annotators: int, scratch: Scratch, anchors: int, entries: int) -> DataFrame:
+    """(who, q): the median of the squared accuracy, times the known factor, over the triplets of each annotator."""
+    many = scratch.put(moments.groupBy("i").count().filter(F.col("count") > anchors).select("i")) if n_annotators > anchors + 1 else None
+    alone = moments.select("i", "j", "d") if many is None else scratch.put(moments.select("i", "j", "d").join(many, "i", "left_anti"))
+    right = alone.select("i", F.col("j").alias("k"), F.col("d").alias("e"))
+    third = moments.select("j", F.col("i").alias("k"), F.col("d").alias("f")).filter(F.col("f") > AGREES)
+    ratios = alone.join(right, "i").filter("j < k").join(third, ["j", "k"]).select(F.col("i").alias("who"), (F.col("d") * F.col("e") / F.col("f")).alias("q"))
+    if many is not None:
+        ratios = ratios.unionByName(_grouped(moments, many, scratch, entries))
+    return ratios.groupBy("who").agg(F.median("q").alias("q"))
+
+
+def _grouped(moments: DataFrame, many: DataFrame, scratch: Scratch, entries: int) -> DataFrame:
+    """(who, q): of each annotator in ``many``, a value for each pair of the ``GROUPS`` groups of its partners, from the sums
+    over all triplets with a partner in either group.
+
+    ``n * d`` is on average (n - 1) times the agreement above chance, so these products weigh each triplet by the common items
+    of its pairs; a pair with one common item adds nothing to any sum. Annotators and pairs are cut into blocks by hash; a task
+    sees one block of both, and pairs reach it as arrays, so no triplet is ever a row."""
+    pairs = moments.filter("n > 1")
+    place = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "j"))
+    mine = scratch.put(pairs.join(many, "i", "left_semi").select("i", "j", "n", "d", ((place - 1) % GROUPS).cast("int").alias("g")))
+    third = pairs.filter("i < j").select(F.col("i").alias("j"), F.col("j").alias("k"), "n", F.col("d").alias("f"))
+    across = max(1, math.ceil(third.count() / entries))
+    down = max(1, math.ceil(mine.count() / entries), min(many.count(), math.ceil(scratch.spark.sparkContext.defaultParallelism / across)))
+    block = lambda c, n: F.pmod(F.hash(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = mine.select(block("i", down).alias("a"), every(across).alias("b"), "*")
+    right = third.select(block("j", across).alias("b"), every(down).alias("a"), "*")
+    sums = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(_sums, "who int, cell int, top double, low double, weight double")
+    sums = sums.groupBy("who", "cell").agg(*[F.sum(c).alias(c) for c in ("top", "low", "weight")])
+    return sums.filter(F.col("low") > AGREES * F.col("weight")).select("who", (F.col("top") / F.col("low")).alias("q"))
+
+
+def _sums(key, mine: pd.DataFrame, third: pd.DataFrame) -> pd.DataFrame:
+    """Sums over the triplets (i, j, k) of the annotators i of one block and the pairs j < k of another, by pair of groups."""
+    found = [pd.DataFrame({"who": [], "cell": [], "top": [], "low": [], "weight": []})]
+    if mine.empty or third.empty:
+        return found[0]
+    third = third.sort_values(["j", "k"])
+    firsts, start = np.unique(third["j"].to_numpy(), return_index=True)
+    stop = np.append(start[1:], len(third))
+    seconds, place = np.unique(third["k"].to_numpy(), return_inverse=True)
+    weight, excess = third["n"].to_numpy(float) - 1, (third["n"] * third["f"]).to_numpy(float)
+    e, v, h = np.zeros(len(seconds)), np.zeros(len(seconds)), np.zeros(len(seconds), np.int64)
+    for who, rows in mine.sort_values(["i", "j"]).groupby("i"):
+        j, g = rows["j"].to_numpy(), rows["g"].to_numpy(np.int64)
+        d, w = (rows["n"] * rows["d"]).to_numpy(float), rows["n"].to_numpy(float) - 1
+        _, here, at = np.intersect1d(j, seconds, assume_unique=True, return_indices=True)
+        e[at], v[at], h[at] = d[here], w[here], g[here]
+        _, here, row = np.intersect1d(j, firsts, assume_unique=True, return_indices=True)
+        length = stop[row] - start[row]
+        take = np.arange(length.sum()) + np.repeat(start[row] - np.cumsum(length) + length, length)
+        mate = np.repeat(here, length)
+        both = v[place[take]] > 0
+        take, mate = take[both], mate[both]
+        k = place[take]
+        cell = np.minimum(g[mate], h[k]) * GROUPS + np.maximum(g[mate], h[k])
+        common = w[mate] * v[k]
+        top, low, total = (np.bincount(cell, x, GROUPS * GROUPS) for x in (d[mate] * e[k] * weight[take], common * excess[take], common * weight[take]))
+        seen = np.flatnonzero(total)
+        found.append(pd.DataFrame({"who": who, "cell": seen, "top": top[seen], "low": low[seen], "weight": total[seen]}))
+        v[at] = 0
+    return pd.concat(found).astype({"who": "int32", "cell": "int32"})
+
+
 def _shares(nc: int):
     def run(batches):
         for pdf in batches:
@@ -172,25 +240,37 @@ def _simple(prior: np.ndarray, nc: int):
     return run
 
 
-def _tables(prior: np.ndarray, nc: int):
-    """P(vote | truth) of an annotator from the pair counts with every partner of accuracy ``REFERENCE`` or more; the table of
-    accuracy and bias alone where there is none."""
+def _told(prior: np.ndarray, nc: int):
+    """What some partners of an annotator, each of accuracy ``REFERENCE`` or more, tell of its table by their pair counts."""
 
-    def solve(mine: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        if mine.empty:
-            return mine
+    def add(told: pd.DataFrame) -> pd.DataFrame:
         top, low = np.zeros((nc, nc)), np.zeros(nc)
-        for r in told[told["acc"] >= REFERENCE].sort_values("j").itertuples(index=False):
+        for r in told.sort_values("j").itertuples(index=False):
             joint = _matrix(r.cells, nc).T / r.n  # [vote of the partner, own vote]
             chance = (1 - r.acc) * np.asarray(r.by)[:, None] * joint.sum(0)[None, :]
             weight = r.n * r.acc**2 / (1.05 - r.acc)
             top += weight * (joint - chance)
             low += weight * r.acc * prior
-        one = top / np.maximum(low, 1e-9)[:, None] if low.sum() > 0 else np.asarray(mine["table"].iloc[0]).reshape(nc, nc)
+        return told[["who", "part"]].head(1).assign(top=[top.ravel()], low=[low])
+
+    return add
+
+
+def _tables(nc: int):
+    """P(vote | truth) of an annotator from what all its partners tell; the table of accuracy and bias alone where there is
+    none."""
+
+    def solve(mine: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        if mine.empty:
+            return mine
+        top, low = np.zeros(nc * nc), np.zeros(nc)
+        for r in parts.sort_values("part").itertuples(index=False):
+            top, low = top + r.top, low + r.low
+        one = top.reshape(nc, nc) / np.maximum(low, 1e-9)[:, None] if low.sum() > 0 else np.asarray(mine["table"].iloc[0]).reshape(nc, nc)
         one = np.maximum(one, FLOOR)
         return mine.assign(table=[(one / one.sum(1, keepdims=True)).ravel()])
 
-    return lambda key, mine, told: solve(mine, told)
+    return lambda key, mine, parts: solve(mine, parts)
 
 
 def _posteriors(who, what, logs: np.ndarray, prior: np.ndarray) -> np.ndarray:

@@ -1,5 +1,8 @@
 import random
 from collections import Counter
+from statistics import median
+
+import pytest
 
 from tessera.llm import consensus
 from tessera.storage import Scratch
@@ -80,6 +83,44 @@ def test_more_annotators_than_anchors(spark):
     assert votes.n_annotators == 120 == consensus.reliability(votes, model).count()
 
 
+def test_partners_beyond_the_anchors_count(spark):
+    """The four partners with the most common items vote at random; what tells of the others are the ten after them."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):
+        t = rng.choice(CATS)
+        good = lambda: t if rng.random() < 0.9 else rng.choice(CATS)  # noqa: B023, E731
+        rows += [(f"q{i}", f"a{j}", rng.choice(CATS)) for j in range(4)] + [(f"q{i}", "target", good())]
+        rows += [(f"q{i}", f"good{j}", good()) for j in range(10) if rng.random() < 0.5]
+    rel = {r.annotator: r for r in consensus.reliability(*run(spark, rows, anchors=4)).collect()}
+    assert all(abs(r.above_chance - 0.9) < 0.1 and r.accuracy > 0.85 for who, r in rel.items() if who[0] != "a")
+    assert all(r.accuracy < 0.4 for who, r in rel.items() if who[0] == "a")
+
+
+@pytest.mark.parametrize("entries", [7, 1000])
+def test_every_triplet_is_in_the_sums(spark, entries):
+    rng = random.Random(6)
+    pairs = {(i, j): (rng.randint(1, 6), rng.uniform(-0.05, 0.3)) for i in range(14) for j in range(i) if rng.random() < 0.8 * (i < 12) + 0.2 * (i >= 12)}
+    pairs = {ij: (n, d if n > 1 else 0.0) for ij, (n, d) in pairs.items()}
+    pairs |= {(j, i): x for (i, j), x in pairs.items()}
+    expected = {}
+    for i in range(14):
+        near = sorted((j for j in range(14) if (i, j) in pairs), key=lambda j: (-pairs[i, j][0], j))
+        sums = {}
+        for a, j in enumerate(near):
+            for b, k in enumerate(near[:a]):
+                if (j, k) in pairs:
+                    (n, d), (m, e), (c, f) = pairs[i, j], pairs[i, k], pairs[j, k]
+                    key, x = ((a, b), (d * e, f, 1)) if len(near) <= 4 else (tuple(sorted((a % consensus.GROUPS, b % consensus.GROUPS))), (n * d * m * e * (c - 1), (n - 1) * (m - 1) * c * f, (n - 1) * (m - 1) * (c - 1)))
+                    sums[key] = [p + q for p, q in zip(sums.get(key, (0, 0, 0)), x)]
+        ratios = [top / low for top, low, weight in sums.values() if low > consensus.AGREES * weight]
+        if ratios:
+            expected[i] = median(ratios)
+    moments = spark.createDataFrame([(i, j, n, d) for (i, j), (n, d) in pairs.items()], "i int, j int, n long, d double")
+    found = {r.who: r.q for r in consensus._medians(moments, 14, Scratch(spark), 4, entries).collect()}
+    assert found == pytest.approx(expected, rel=1e-9) and len(expected) > 8
+
+
 def test_votes_of_the_test_table(spark, tmp_path):
     from tessera.llm import queries
 
