@@ -106,3 +106,12 @@ def test_whole_table_queries_leave_no_row_out(spark, tmp_path):
     assert norms == {"i0": "où est l été", "i1": "it s x", "i2": "who says foo 3 at 10 30", "i3": "plain 12", "i4": "bar or baz", "i6": "你好 7", "i7": "été", "i8": "no options"}
     templates = {r.item_id: r.template for r in queries.question_template(spark, str(tmp_path)).collect()}
     assert len(templates) == 8 and templates["i2"] == "who says <ENT> at <NUM>?" and templates["i4"] == "<ENT> or <ENT>?" and templates["i0"] == "où est l’été ?"
+
+
+def test_a_gold_that_names_no_option_is_an_empty_gold(spark, tmp_path):
+    df = spark.createDataFrame([(["x", "y"], -1), (["x", "y"], -2), (["x", "y"], None), (["x", "y"], 2), (["x", "y"], 1), ([], -1)], "o array<string>, i int")
+    assert [r.f for r in df.select(options.option_flags(F.col("o"), F.col("i")).alias("f")).collect()] == [["empty_gold"]] * 4 + [[], ["empty_gold"]]
+    rows = [("i0", 0, "no idea", ["x", "y"], "q"), ("i1", 1, None, ["x", "y"], "q"), ("i2", 2, "B", ["x", "y"], "q"), ("i3", 3, "E", None, "q A. x B. y"), ("i4", 4, "A", None, "q")]
+    spark.createDataFrame(rows, "item_id string, row_seq long, answer string, options array<string>, question string").write.parquet(str(tmp_path / "items.parquet"))
+    got = {r.item_id: (r.gold_index, r.reason, r.flags) for r in queries.option_flags(spark, str(tmp_path)).collect()}
+    assert got == {"i0": (-1, "answer_not_in_options", "empty_gold"), "i1": (-1, "answer_missing", "empty_gold"), "i2": (1, None, ""), "i3": (-1, "letter_out_of_range", "empty_gold"), "i4": (-1, "no_options", None)}
