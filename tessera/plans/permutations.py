@@ -21,7 +21,7 @@ MULTI = r"^\s*[A-Pa-p](?:\s*,\s*[A-Pa-p])+\s*$"
 
 def _quoted(c: Column) -> Column:
     """A text as a regular expression that matches it."""
-    return F.regexp_replace(c, r"([^\w\s])", r"\\\\$1")
+    return F.regexp_replace(c, r"([^\w\s])", r"\\$1")
 
 
 def options_in_question(question: Column, bodies: Column) -> Column:

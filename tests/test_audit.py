@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import frames, options
 from tessera.operators import aggregates, sampling, selection
-from tessera.plans import attribution, conditions, exports, levels, permutations, pipelines, pool, stages
+from tessera.plans import attribution, audit_queries, conditions, exports, levels, permutations, pipelines, pool, stages
 
 
 def test_blind_replies_are_scored_against_the_shown_options(spark):
@@ -216,3 +216,19 @@ def test_exports(spark, tmp_path):
     assert summary.count() == 2 and "chance_c | 0.25" in (tmp_path / "report/cards/b1/card.md").read_text()
     assert spark.range(1).select(exports.percent(F.lit(0.123)).alias("x")).first().x == "12.3 %"
     assert aggregates.LEVEL_OF["pool"] == "pool" and options.parse_options("(1, 2)") == ["1", "2"]
+
+
+def _marked_items(spark, folder):
+    """Items whose option texts hold characters with a meaning in regular expressions; q0 and q4 list them in the question."""
+    rows = [
+        ("q0", "Is it (A) a dog (big) or (B) c++ [old]?", ["a dog (big)", "c++ [old]"]), ("q1", "Which?", [") stretches", "no * star"]), ("q2", r"Is it A. x\(y or B. ?", [r"x\(y", "[z"]),
+        ("q3", "Is it A. xyz or B. xtz?", ["x.z", "xt?z"]), ("q4", r"Is it A. 5\6 {x} or B. été $1 🙂!?", [r"5\6 {x}", "été $1 🙂!"]),
+    ]
+    df = spark.createDataFrame([(q, i, "b", t, o, "A") for i, (q, t, o) in enumerate(rows)], "item_id string, row_seq long, benchmark string, question string, options array<string>, answer string")
+    df.write.parquet(str(folder / "items.parquet"))
+    return str(folder)
+
+
+def test_option_texts_are_not_patterns(spark, tmp_path):
+    left = audit_queries.permutation_exclusions(spark, _marked_items(spark, tmp_path)).collect()
+    assert [tuple(r) for r in left] == [("b", "options_in_question", 2)]
