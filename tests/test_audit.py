@@ -232,3 +232,11 @@ def _marked_items(spark, folder):
 def test_option_texts_are_not_patterns(spark, tmp_path):
     left = audit_queries.permutation_exclusions(spark, _marked_items(spark, tmp_path)).collect()
     assert [tuple(r) for r in left] == [("b", "options_in_question", 2)]
+
+
+def test_items_with_punctuation_get_their_orders(spark, tmp_path):
+    rows = audit_queries.permutation_plan(spark, _marked_items(spark, tmp_path)).collect()
+    assert {r.item_id for r in rows} == {"q1", "q2", "q3"}
+    shown = {"q1": [") stretches", "no * star"], "q2": [r"x\(y", "[z"], "q3": ["x.z", "xt?z"]}
+    assert all(r.shown == "|".join(shown[r.item_id][i] for i in r.perm) and r.gold == "AB"[r.perm.index(0)] for r in rows)
+    assert {r.item_id for r in rows if r.perm_id == 0 and r.perm == [0, 1]} == {"q1", "q2", "q3"}
