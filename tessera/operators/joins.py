@@ -47,21 +47,40 @@ def with_gold(results: DataFrame, samples: DataFrame, key: list[str], own: str,
     return joined.select(*key, *rest, F.coalesce(own, "__g").alias(gold))
 
 
-def block_self_join(df: DataFrame, key: str, block: list[str], keep: list[str], residual) -> DataFrame:
+def block_self_join(df: DataFrame, key: str, block: list[str], keep: list[str], residual=None, band: tuple[str, float] | None = None) -> DataFrame:
     """(key_a, key_b, columns of ``keep`` with _a and _b): pairs a < b inside a block that satisfy ``residual(a, b)``.
 
     Blocks of one row are dropped before the join. Null block values match each other. ``residual`` gets two functions that
-    give a side's column. The residual must be selective: the result holds every pair that satisfies it.
+    give a side's column. The residual must be selective: the result holds every pair that satisfies it. ``band`` (a numeric
+    column of ``keep``, width) asks for values that differ by less than the width: a row then meets its own and the two
+    neighbouring strips of its block only, not the whole block.
     """
     for b in block:
         df = df.withColumn(f"__b_{b}", F.struct(F.col(b)))
     keys = [f"__b_{b}" for b in block]
-    twice = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter("__n > 1").drop("__n")
-    narrow = df.select(key, *keys, *keep).join(twice, keys, "left_semi")
-    a = narrow.select(*keys, *[F.col(c).alias(f"{c}_a") for c in [key, *keep]])
-    b = narrow.select(*keys, *[F.col(c).alias(f"{c}_b") for c in [key, *keep]])
+    if band:
+        value, width = F.col(band[0]).cast("double"), float(band[1])
+        sides = df.filter(F.abs(value) < float("inf")).withColumn("__at", _strip(value, width)).select(key, *keys, *keep, "__at")
+        left, right = sides, sides.withColumn("__at", F.explode(F.array(F.col("__at") - 1, F.col("__at"), F.col("__at") + 1)))
+        keys = [*keys, "__at"]
+    else:
+        twice = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter("__n > 1").drop("__n")
+        left = right = df.select(key, *keys, *keep).join(twice, keys, "left_semi")
+    a = left.select(*keys, *[F.col(c).alias(f"{c}_a") for c in [key, *keep]])
+    b = right.select(*keys, *[F.col(c).alias(f"{c}_b") for c in [key, *keep]])
     pairs = a.join(b, keys).filter(F.col(f"{key}_a") < F.col(f"{key}_b"))
-    return pairs.filter(residual(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"))).drop(*keys)
+    if band:
+        pairs = pairs.filter(F.abs(F.col(f"{band[0]}_a") - F.col(f"{band[0]}_b")) < F.lit(band[1]))
+    if residual:
+        pairs = pairs.filter(residual(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b")))
+    return pairs.drop(*keys)
+
+
+def _strip(value: Column, width: float) -> Column:
+    """Number of the strip of twice the width that holds a value: values closer than the width lie in the same or in
+    neighbouring strips, whatever the rounding. Values too large for a number share the outermost strips."""
+    most = float(2**62)
+    return F.floor(F.greatest(F.least(value / (2 * width), F.lit(most)), F.lit(-most)))
 
 
 def interval_join(rows: DataFrame, value: str, edges: DataFrame, lo: str, hi: str) -> DataFrame:

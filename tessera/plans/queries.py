@@ -520,7 +520,7 @@ def duplicate_components(spark, folder):
 
 @query("""select a.c_custkey as c_custkey_a, b.c_custkey as c_custkey_b from customer a join customer b on a.c_nationkey = b.c_nationkey and a.c_mktsegment = b.c_mktsegment and a.c_custkey < b.c_custkey where abs(a.c_acctbal - b.c_acctbal) < 5""")
 def block_self_join(spark, folder):
-    out = joins.block_self_join(read(spark, folder, "customer"), "c_custkey", ["c_nationkey", "c_mktsegment"], ["c_acctbal"], lambda a, b: F.abs(a("c_acctbal") - b("c_acctbal")) < 5)
+    out = joins.block_self_join(read(spark, folder, "customer"), "c_custkey", ["c_nationkey", "c_mktsegment"], ["c_acctbal"], band=("c_acctbal", 5))
     return out.select("c_custkey_a", "c_custkey_b")
 
 

@@ -212,3 +212,25 @@ def test_refill_compares_candidates_with_kept_and_added_rows(spark):
     vectors = [tuple(r[5]) for r in rows if r[0] in out and r[5]]
     assert "q1" in out and len(vectors) == len(set(vectors))
     assert "q90" in out or any(r[0] in out and r[5] == [0.0, 1.0] for r in rows)
+
+
+def test_a_band_meets_neighbouring_strips_only(spark):
+    rng = random.Random(5)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 5.0, -5.0, 10.0, 9.999999999999998, 4.999999999999999, 1e18, 1e18, 2.0**56, 2.0**56 - 4, 1.7e308, 1.7e308, -1.7e308]
+    values = odd + [round(rng.uniform(-30, 30), 2) for _ in range(300)] + [i * 5.0 for i in range(-4, 5)]
+    rows = [(i, rng.choice(["x", "y", None]), v) for i, v in enumerate(values)] + [(1000 + i, "odd", v) for i, v in enumerate(odd)]
+    df = spark.createDataFrame(rows, "id int, g string, v double")
+    near = lambda a, b: a is not None and b is not None and abs(a - b) < 5
+    want = {(a, b) for a, g, v in rows for b, h, w in rows if a < b and g == h and near(v, w)}
+    got = [(r.id_a, r.id_b) for r in joins.block_self_join(df, "id", ["g"], ["v"], band=("v", 5)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    few = joins.block_self_join(df, "id", ["g"], ["v"], lambda a, b: a("v") > b("v"), ("v", 5)).collect()
+    assert {(r.id_a, r.id_b) for r in few} == {(a, b) for a, b in want if dict((i, v) for i, _, v in rows)[a] > dict((i, v) for i, _, v in rows)[b]}
+
+
+def test_a_large_block_is_joined_by_strips(spark, tmp_path):
+    n = 200_000
+    df = spark.range(n).select(F.col("id").alias("c_custkey"), F.lit(1).alias("c_nationkey"), F.lit("s").alias("c_mktsegment"), (F.col("id") * 3.0).alias("c_acctbal"))
+    df.write.parquet(str(tmp_path / "customer.parquet"))
+    out = queries.block_self_join(spark, str(tmp_path))  # 40 billion pairs in one block
+    assert tuple(out.agg(F.count("*"), F.min(F.col("c_custkey_b") - F.col("c_custkey_a")), F.max(F.col("c_custkey_b") - F.col("c_custkey_a"))).first()) == (n - 1, 1, 1)
